@@ -2,13 +2,13 @@
 
 The model is over characters, up to four at once: capitals are one symbol, digits another, and the most frequent other
 characters of the trusted text have one of 64 symbols each; the rest share the last. Trusted text is at most MODEL_DOCS labelled documents of quality 1 (the least in a
-seeded order). Counts are kept and joined in Spark, dealt by n-gram: highest-order counts are occurrences, lower ones
+seeded order, of one half of them; limits come from all of the other half). Counts are kept and joined in Spark, dealt by n-gram: highest-order counts are occurrences, lower ones
 continuations; three discounts an order come from counts of counts; an n-gram's probability joins its context's total
 and the probability of its ending. The joined model has at most 64^4 rows whatever the input's size; tasks hold
 it as one table of log probabilities by n-gram and score whole texts by look-ups.
 
-A document is rejected when its perplexity is above its language's limit: the QUANTILE of perplexities of all trusted
-documents of that language (a language with fewer than LEAST_TRUSTED of them, or none given, has the limit over all).
+A document is rejected when its perplexity, taken together with PRIOR_CHARS characters of the trusted texts' average (short
+texts prove little), is above its language's limit: the QUANTILE of the same over all held-out trusted documents of that language (a language with fewer than LEAST_TRUSTED of them, or none given, has the limit over all).
 
 Defined cases: null and empty texts have perplexity 1 and are kept, having nothing to reject; a null language is a language
 of its own; without trusted documents nothing is rejected (perplexity null); repeated rows give repeated rows; labels that
@@ -26,7 +26,7 @@ from .common import map_slices, work_dir, written
 
 ORDER, SYMBOLS = 4, 64
 MODEL_DOCS, MODEL_CHARS = 2000, 20_000
-QUANTILE, LEAST_TRUSTED = 0.995, 30
+QUANTILE, LEAST_TRUSTED, PRIOR_CHARS = 0.995, 30, 200
 BOUNDARY, CAPITAL, DIGIT, OTHER = 0, 1, 2, SYMBOLS - 1
 
 
@@ -110,7 +110,7 @@ def table(rows: list[tuple]) -> np.ndarray:
 
 
 def perplexities(docs: DataFrame, model: tuple[np.ndarray, list[tuple]], text: bool = False) -> DataFrame:
-    """The given columns (with the text or without) and perplexity (6 digits)."""
+    """The given columns (with the text or without), perplexity (6 digits) and length (in characters)."""
     alphabet, rows = model
     packed = (np.array([r[0] for r in rows], np.int8), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # at most 64^4 rows, a few hundred thousand in practice
@@ -126,9 +126,9 @@ def perplexities(docs: DataFrame, model: tuple[np.ndarray, list[tuple]], text: b
                 part = codes(symbols(text_[lead : at + (1 << 20)], alphabet))[at - lead :]
                 total += float(scores[part].sum(dtype=np.float64))
             out.append(round(float(np.exp(-total / n)), 6) if n else 1.0)
-        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.float64())], names=[*kept, "perplexity"])
+        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.float64()), pa.array([len(x) for x in texts], pa.int64())], names=[*kept, "perplexity", "length"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept) + ", perplexity double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept) + ", perplexity double, length long"
     return map_slices(docs, of, schema)
 
 
@@ -144,9 +144,13 @@ def _table_of(shared) -> np.ndarray:
     return _held[key]
 
 
+#: The half of the trusted documents that limits come from; the model's sample is of the other.
+HELD_OUT = "pmod(xxhash64(doc_id, 5L), 2) = 0"
+
+
 def train(docs: DataFrame, labels: DataFrame, folder: str, seed: int = 11) -> tuple[np.ndarray, list[tuple]] | None:
     """The model of a bounded sample of trusted texts; None if there are none."""
-    chosen = _good(labels).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(MODEL_DOCS)
+    chosen = _good(labels).where(f"not ({HELD_OUT})").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(MODEL_DOCS)
     ids = [r["doc_id"] for r in chosen.collect()]  # at most MODEL_DOCS
     sample = docs.where(F.col("doc_id").isin(ids) & (F.col("text") != "")).select(F.substring("text", 1, MODEL_CHARS).alias("text"))
     sample = written(sample, f"{folder}/sample")
@@ -157,29 +161,33 @@ def _good(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def limit_of(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Column:
-    """Each language's limit, as an expression over `lang`, from all trusted documents (doc_id, lang, perplexity)."""
-    good = scored.join(_good(labels), "doc_id", "left_semi")
-    q = F.percentile_approx("perplexity", quantile, 10000).alias("q")
+def limits_of(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[Column, Column]:
+    """The evidence that is compared, as an expression over perplexity and length, and each language's limit to it, as one
+    over lang, from all held-out trusted documents."""
+    good = scored.join(_good(labels).where(HELD_OUT), "doc_id", "left_semi")
+    usual = good.agg(F.avg(F.log("perplexity"))).first()[0] or 0.0
+    evidence = F.exp((F.log("perplexity") * F.col("length") + usual * PRIOR_CHARS) / (F.col("length") + PRIOR_CHARS))
+    good = good.withColumn("evidence", evidence)
+    q = F.percentile_approx("evidence", quantile, 10000).alias("q")
     overall = good.agg(q).first()["q"]
     limits = {r["lang"]: r["q"] for r in good.groupBy("lang").agg(q, F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED).collect()}  # one row a language
     out = F.lit(overall).cast("double")
     for lang, value in sorted(limits.items(), key=lambda x: str(x[0])):
         out = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(out)
-    return out
+    return evidence, out
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """One row per input row: doc_id, lang, perplexity, threshold, is_kept."""
+    """One row per input row: doc_id, lang, perplexity, evidence, threshold, is_kept."""
     folder = work_dir(docs.sparkSession, "quality")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text"))
     model = train(base, labels, folder)
     if model is None:
         nothing = F.lit(None).cast("double")
-        return base.select("doc_id", "lang", nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("is_kept"))
+        return base.select("doc_id", "lang", nothing.alias("perplexity"), nothing.alias("evidence"), nothing.alias("threshold"), F.lit(True).alias("is_kept"))
     scored = written(perplexities(base, model), f"{folder}/scored")
-    judged = scored.withColumn("threshold", limit_of(scored, labels, quantile))
-    return judged.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("is_kept"))
+    evidence, limit = limits_of(scored, labels, quantile)
+    return scored.select("doc_id", "lang", "perplexity", evidence.alias("evidence"), limit.alias("threshold"), F.coalesce(evidence <= limit, F.lit(True)).alias("is_kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -190,8 +198,8 @@ def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Data
     if model is None:
         return named
     scored = written(perplexities(named.select("doc_id", "lang", "text"), model), f"{folder}/scored")
-    limit = limit_of(scored, labels, quantile)
-    return perplexities(named, model, text=True).where(F.coalesce(F.col("perplexity") <= limit, F.lit(True))).drop("perplexity")
+    evidence, limit = limits_of(scored, labels, quantile)
+    return perplexities(named, model, text=True).where(F.coalesce(evidence <= limit, F.lit(True))).drop("perplexity", "length")
 
 
 def op7_kneser_ney_quality(spark, sf_dir: str) -> DataFrame:
