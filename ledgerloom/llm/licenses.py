@@ -60,7 +60,7 @@ def _vectors(lines: DataFrame, key: list[str], idf: DataFrame, top: Column) -> D
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Column | None = None, license_file: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, path, own_license, cosine (4 digits), license, inherited_from (a directory)."""
     spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(license_file, F.lit(False)).alias("is_file"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.lit(None).cast("string") if path is None else path, F.lit("")).alias("path"), F.coalesce(F.lit(None).cast("boolean") if license_file is None else license_file, F.lit(False)).alias("is_file"))
     templates = spark.createDataFrame([(i, name, text_) for i, (name, text_) in enumerate(TEMPLATES)], "t int, license string, text string").select("t", "license", _terms(F.col("text")).alias("terms"))
     vocabulary = sorted({term for _, text_ in TEMPLATES for term in _term_list(text_)})
     wanted = F.array(*[F.lit(x) for x in vocabulary])

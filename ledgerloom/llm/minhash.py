@@ -30,7 +30,7 @@ COMPONENTS = BANDS * ROWS
 #: Buckets up to this size compare all their pairs; larger ones compare with one pivot a round.
 SMALL_BUCKET = 12
 #: Rounds of pivots for large buckets before the buckets are split by pairs of bands.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 _GOLDEN, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -221,12 +221,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     folder = work_dir(spark, "minhash")
-    rows = written(sketch(docs, doc_id, text), f"{folder}/rows")
-    copies = rows.groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    nodes = written(copies.withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
-    firsts = rows.where("n > 0").select("digest", "doc_id", "n", "bands", "bag").join(nodes.select("digest", F.col("doc_id").alias("least"), "node"), "digest").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    kept = written(firsts.select("node", "n", "bands", "bag").dropDuplicates(["node"]), f"{folder}/bags")
-    bags = kept.select("node", "bag")
+    rows = written(sketch(docs, doc_id, text).withColumn("line", F.monotonically_increasing_id()), f"{folder}/rows")
+    # A node is a distinct text, named by the first row that has it.
+    copies = rows.groupBy("digest", "n").agg(F.min("line").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    nodes = written(copies, f"{folder}/nodes")
+    kept = rows.select(F.col("line").alias("node"), "n", "bands").join(nodes.where("n > 0").select("node"), "node")
+    bags = rows.select(F.col("line").alias("node"), "bag")
     members = written(kept.select("node", "n", F.posexplode("bands").alias("band", "key")).select("key", "node", "n"), f"{folder}/members")
     shared = members.join(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
     members = written(shared, f"{folder}/shared")
@@ -254,7 +254,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             if round_ == PIVOT_ROUNDS or sizes.where(F.col("size") > SMALL_BUCKET).isEmpty():
                 break
             continue
-        found = written(verified(pairs, bags, similarity), f"{folder}/links-{round_}")
+        compared = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = written(bags.join(compared, "node", "left_semi"), f"{folder}/bags-{round_}")
+        found = written(verified(pairs, wanted, similarity), f"{folder}/links-{round_}")
         tried = pairs if tried is None else tried.union(pairs)
         if links is not None and found.isEmpty():
             continue
@@ -263,7 +265,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     owner = nodes.join(roots, "node", "left").select("digest", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
     classes = owner.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = owner.join(classes, "root").select("digest", "root", "class_id", "class_size")
-    placed = rows.select("doc_id", "digest").withColumn("line", F.monotonically_increasing_id()).join(named, "digest")
+    placed = rows.select("doc_id", "digest", "line").join(named, "digest")
     placed = written(placed.select("line", "root", "doc_id", "class_id", "class_size"), f"{folder}/placed")
     one = placed.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("line").alias("line")).select("line", F.lit(True).alias("kept"))
     return placed.join(one, "line", "left").select("doc_id", "class_id", "class_size", F.coalesce("kept", F.lit(False)).alias("is_kept"))

@@ -1,0 +1,340 @@
+"""The text operators against brute force, on small tables with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import struct
+import unicodedata
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import bpe, compaction, exact, licenses, minhash, mixing, pii, quality, tiff, unigram
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(seed, n, vocabulary=400):
+    rnd = random.Random(seed)
+    return [f"w{rnd.randrange(vocabulary)}x" for _ in range(n)]
+
+
+def base_rows():
+    a, b = words(1, 120), words(2, 80)
+    near = a[:60] + ["changed"] + a[61:]
+    far = a[:60] + words(9, 60)
+    rows = [(1, " ".join(a)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(a).upper()), (5, None), (6, ""), (7, "   \n"), (8, "two words"), (9, " ".join(b)), (9, " ".join(b)), (10, "two words"), (None, " ".join(words(5, 50))), (None, None), (11, " ".join(words(6, 30000))), (12, "ä b  c d ﬁ <|endoftext|> 🙂")]
+    return [(i, t, "en" if (i or 0) % 2 else None, f"s{(i or 0) % 3}" if i != 8 else None, None) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(base_rows(), SCHEMA).withColumns({"line": F.lit(1), "node": F.lit("x"), "root": F.lit(2), "bucket": F.lit(3)}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_jaccard(x, y):
+    def bag(t):
+        w = (t or "").lower().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    a, b = bag(x), bag(y)
+    if not a or not b:
+        return float(not a and not b)
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def brute_classes(rows):
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if brute_jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r[0])
+    return Counter((d, min((x for x in g if x is not None), default=None), len(g)) for g in groups.values() for d in g)
+
+
+def test_near_duplicates_match_brute_force(spark, docs, empty):
+    got = minhash.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == brute_classes(base_rows())
+    assert sum(r.is_kept for r in got) == len({tuple(sorted(map(str, g))) for g in _classes(base_rows())})
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def _classes(rows):
+    out = {}
+    for (d, c, n), k in brute_classes(rows).items():
+        out.setdefault((c, n) if c is not None else (d, n, k), []).append(d)
+    return out.values()
+
+
+def test_hot_buckets_and_chains(spark):
+    """Forty near copies of one text, a chain of edits, and thirty texts that share half of their words."""
+    base, rows = words(20, 200), []
+    for k in range(40):
+        t = list(base)
+        t[(k * 5) % 200] = f"edit{k}"
+        rows.append((k, " ".join(t)))
+    t = words(21, 200)
+    for k in range(6):
+        t = list(t)
+        t[k * 30 + 3] = f"step{k}"
+        rows.append((100 + k, " ".join(t)))
+    shared = words(22, 100)
+    for k in range(30):
+        rows.append((200 + k, " ".join(shared + words(300 + k, 100))))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == brute_classes(rows)
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rnd, errors = random.Random(3), []
+    for trial in range(30):
+        w = [rnd.choice("abcdefghij") * rnd.randrange(1, 3) for _ in range(rnd.randrange(20, 200))]
+        u = [x if rnd.random() > 0.05 else "zz" for x in w]
+        keys, weights, owner, bags = minhash._multisets([" ".join(w), " ".join(u)])
+        estimate = np.mean([np.equal(*minhash.signatures(keys + np.uint64(7919 * q + trial), weights, owner, 2)).mean() for q in range(20)])
+        errors.append(estimate - minhash.overlap(*[np.sort((b >> np.uint64(32)).astype(np.uint32)).tobytes() for b in bags]))
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.04
+
+
+def test_components_of_a_long_path(spark, tmp_path):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
+    got = {r.node: r.root for r in minhash.components(links, str(tmp_path / "c")).collect()}
+    assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_licenses(spark, empty):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, f"x y\n{mit}\nmore", "a/LICENSE", True), (2, "nothing", "a/b/f", False), (3, gpl, "a/b/LICENSE", True), (4, None, "a/b/c/f", False), (5, "", "z/f", False), (6, "the license of the poet is free in all the words that they said", "a/g", False), (7, mit, "z/h", False), (7, mit, "z/h", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string, is_l boolean")
+    got = Counter((r.doc_id, r.own_license, r.license, r.inherited_from) for r in licenses.scan(df, path=F.col("path"), license_file=F.col("is_l")).collect())
+    assert {k[0]: k[1:] for k in got} == {1: ("MIT", "MIT", None), 2: (None, "GPL-3.0", "a/b"), 3: ("GPL-3.0", "GPL-3.0", None), 4: (None, "GPL-3.0", "a/b"), 5: (None, None, None), 6: (None, "MIT", "a"), 7: ("MIT", "MIT", None)}
+    assert got[(7, "MIT", "MIT", None)] == 2 and sum(got.values()) == len(rows)
+    assert licenses.scan(empty).count() == 0
+
+
+def test_tiff_codecs_round_trip():
+    rnd = np.random.default_rng(1)
+    for scheme in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        for predictor in (1, 2):
+            for tiled in (False, True):
+                for order in "<>":
+                    images = [(rnd.integers(0, 256, shape) // rnd.integers(1, 60, shape)).astype(np.uint8) for shape in ((1, 1, 1), (70, 130, 3), (300, 64, 1))]
+                    back = tiff.pages(tiff.encode(images, scheme, predictor, tiled, 16, order))
+                    assert len(back) == 3 and all((a == b).all() for a, b in zip(images, back, strict=True))
+    assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+
+
+def test_tiff_rows_and_damage(spark):
+    good = tiff.encode([np.zeros((4, 4, 1), np.uint8), np.ones((2, 3, 3), np.uint8)])
+    rows = [(1, good), (2, None), (3, b"junk"), (4, good[:60])]
+    got = tiff.read_pages(spark.createDataFrame(rows, "doc_id long, content binary")).collect()
+    assert sorted((r.key, r.page) for r in got if r.error is None) == [(1, 0), (1, 1)]
+    assert {r.key for r in got if r.error} == {3, 4}
+
+
+def test_media_digests(docs, empty):
+    got = tiff.media_digests(docs).collect()
+    want = Counter()
+    for i, t, *_ in base_rows():
+        raw = (t or "").encode()
+        data = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        want[i, len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:])] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    assert tiff.media_digests(empty).count() == 0
+
+
+def test_bpe_matches_the_library(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    library = Tokenizer.from_file(path)
+    machine = bpe.automaton(open(path).read())
+    rnd = random.Random(1)
+    texts = ["", "  ", " a  b", "a\n  b \n c\t\td  ", "don't we'll <|endoftext|> x<|endoftext|>", "a" * 1300, "日本語 テキスト🙂🙂   x", "x \x1c y\x85z", "1234 5678.90 $$$ ----"]
+    texts += ["".join(rnd.choice(["a", "the", " ", "  ", "\n", "'s", "é", "1", "!", "Q", "th", "\t", "ing", " "]) for _ in range(rnd.randrange(40))) for _ in range(1500)]
+    for text, ids in zip(texts, machine.encode_all(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want, text
+        assert machine.decode(ids) == library.decode(want, skip_special_tokens=False)
+    got = bpe.encoded(docs, path).collect()
+    want = Counter()
+    for i, t, *_ in base_rows():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    back = bpe.decoded(bpe.encoded(docs, path), path).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t or "") for i, t, *_ in base_rows())
+    assert bpe.encoded(empty, path).count() == 0
+
+
+def test_sainte_lague():
+    def brute(votes, seats, caps):
+        got = [0] * len(votes)
+        for _ in range(min(seats, sum(c for c, v in zip(caps, votes, strict=True) if v))):
+            i = max((i for i in range(len(votes)) if got[i] < caps[i] and votes[i]), key=lambda i: (Fraction(votes[i]) / (2 * got[i] + 1), -i))
+            got[i] += 1
+        return got
+
+    rnd = random.Random(2)
+    for _ in range(200):
+        n = rnd.randrange(1, 8)
+        votes, caps, seats = [rnd.randrange(0, 60) for _ in range(n)], [rnd.randrange(0, 30) for _ in range(n)], rnd.randrange(0, 90)
+        assert mixing.sainte_lague(votes, seats, caps) == brute(votes, seats, caps)
+
+
+def test_mix(spark, docs, empty):
+    got = mixing.mix(docs).collect()
+    sizes = Counter()
+    for _, t, _, s, _ in base_rows():
+        sizes[s] += len(re.findall(mixing.WORD, t or ""))
+    assert {r.source: r.source_size for r in got} == dict(sizes) and len(got) == len(base_rows())
+    goal = mixing.targets(dict(sizes))
+    assert sum(goal.values()) == Fraction(3, 2) * sum(sizes.values()) and all(goal[s] <= 2 * sizes[s] for s in sizes)
+    taken = Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.target == float(goal[r.source])
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 48 for s in sizes)
+    key = lambda r: (str(r.doc_id), r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(docs).collect()))
+    assert mixing.mix(empty).count() == 0
+    made = spark.createDataFrame(base_rows(), SCHEMA)
+    texts = mixing.mixed_texts(made)
+    assert texts.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sum(len((r.text or "").split()) for r in texts.collect()) == sum(taken.values())
+
+
+def test_pseudonyms(spark, docs, empty):
+    text = "4111111111111111 4111 1111 1111 1111 4111111111111112 +1 (017) 555-7713 ent.23@mail8.example.com 2024-02-29 31/12/1999 30/02/1999 123-45-6789 666-45-6789 97.51.17.173 300.1.1.1 04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    df = spark.createDataFrame([(1, text), (2, "4111-1111-1111-1111"), (3, None), (4, "plain"), (5, "1.1.1.1 2.2.2.2"), (6, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    out = rows[1].text.split(" ")
+    joined = rows[1].text
+    assert re.fullmatch(r"\d{16}", out[0]) and out[0] != "4111111111111111" and luhn(out[0])
+    assert "".join(out[1:5]) == out[0] == rows[2].text.replace("-", "")
+    assert "4111111111111112" in joined and "30/02/1999" in joined and "666-45-6789" in joined and "300.1.1.1" in joined
+    for gone in ("(017) 555-7713", "ent.23@", "2024-02-29", "31/12/1999", "123-45-6789", "97.51.17.173", "04dbebab91ab85687d33eeaaf9ac699e1188f962"):
+        assert gone not in joined
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} [a-z]{3}\.\d\d@mail8\.example\.com \d{4}-\d\d-\d\d \d\d/\d\d/\d{4} ", joined)
+    assert re.search(r"[0-9a-f]{40}$", joined) and rows[1].n_private == 9
+    assert rows[3].text is None and rows[3].n_private == 0 and rows[4].text == "plain" and rows[6].text == ""
+    assert len(set(rows[5].text.split(" "))) == 2
+    assert pii.pseudonymised(empty).count() == 0 and pii.pseudonymised(docs).count() == len(base_rows())
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    for radices in ([7, 13], [10, 10, 10], [5]):
+        size = int(np.prod(radices))
+        digits = [[(n // int(np.prod(radices[:k]))) % r for k, r in enumerate(radices)] for n in range(size)]
+        df = spark.createDataFrame([(d,) for d in digits], "d array<long>")
+        out = [tuple(r[0]) for r in df.select(pii.feistel(F.col("d"), F.array(*[F.lit(r).cast("long") for r in radices]), "k", F.lit("t"))).collect()]
+        assert sorted(out) == sorted(map(tuple, digits)) and (size < 10 or out != list(map(tuple, digits)))
+
+
+def test_kneser_ney_sums_to_one_and_separates(spark, sf, empty):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    import tempfile
+
+    model = quality.train(docs, labels, tempfile.mkdtemp() + "/m")
+    table = np.exp(quality.table(model[1]).astype(np.float64)).reshape(-1, quality.SYMBOLS)
+    assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
+    got = quality.classify(docs, labels).join(labels, "doc_id").collect()
+    good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
+    assert sum(r.is_kept for r in good) >= 0.95 * len(good)
+    assert sum(not r.is_kept for r in bad) >= 0.6 * len(bad)
+    assert quality.classify(empty, labels).count() == 0 and quality.kept(docs, labels.limit(0)).count() == docs.count()
+    odd = spark.createDataFrame(base_rows(), SCHEMA)
+    assert quality.classify(odd, labels.limit(0)).where("is_kept").count() == len(base_rows())
+
+
+def test_unigram_counts(docs, empty):
+    path = bpe.default_vocabulary()
+    model = unigram.Unigram(open(path).read())
+
+    def brute(word):
+        data, best = word.encode(), [(0.0, 0)]
+        for e in range(1, len(data) + 1):
+            best.append(max((best[s][0] + model.pieces[data[s:e]], best[s][1] - 1) for s in range(max(0, e - 130), e) if data[s:e] in model.pieces))
+        return -best[-1][1], best[-1][0]
+
+    sample = sorted({w for _, t, *_ in base_rows() for w in bpe._find(t or "")})[:600]
+    got = model.terminals(sample)
+    for w in sample:
+        n, score = brute(w)
+        assert got[w][0] == n and abs(got[w][1] - score) < 1e-9
+    want = Counter((i, len(ws := bpe._find(t or "")), sum(brute(w)[0] for w in ws)) for i, t, *_ in base_rows() if len(t or "") < 5000)
+    rows = Counter((r.doc_id, r.n_words, r.n_tokens) for r in unigram.token_counts(docs, path).collect() if r.doc_id != 11)
+    assert rows == want and unigram.token_counts(empty, path).count() == 0
+
+
+def brute_neighbours(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256((r[1] or "").encode()).digest()[:16]))
+
+    def canon(t):
+        t = t.lower() if t.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+        return " ".join(t.split())
+
+    out = Counter()
+    for k, (i, t, *_) in enumerate(order):
+        t, n = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(t) // 2
+        edited = t[: len(t) - cut] + n[:cut]
+        out[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), exact.fingerprint(canon(t).encode()), exact.fingerprint(canon(edited).encode()), float(canon(t) == canon(edited)), float(canon(t) == canon(n))] += 1
+    return out
+
+
+def test_exact_neighbours(spark, docs, empty):
+    assert Counter(map(tuple, exact.neighbours(docs).collect())) == brute_neighbours(base_rows())
+    many = [(i * 3, f"Text {i % 50}  of {i}" if i % 4 else "same", "en", "s", None) for i in range(700)]
+    assert Counter(map(tuple, exact.neighbours(spark.createDataFrame(many, SCHEMA)).collect())) == brute_neighbours(many)
+    for rows in ([], [many[3]], [(None, "a", None, None, None)] * 2, many[:2]):
+        assert Counter(map(tuple, exact.neighbours(spark.createDataFrame(rows, SCHEMA)).collect())) == brute_neighbours(rows)
+
+
+def test_exact_classes(docs):
+    got = Counter((r.class_id, r.copies) for r in exact.exact_classes(docs).collect())
+    want = {}
+    for i, t, *_ in base_rows():
+        want.setdefault(exact.canonical(t or ""), []).append(i)
+    assert got == Counter((min((x for x in g if x is not None), default=None), len(g)) for g in want.values())
+
+
+def test_shards(spark, docs, empty, tmp_path):
+    made = spark.createDataFrame([(i, f"text {i} " * 50, "en", "s", i) for i in range(400)], SCHEMA)
+    store = compaction.ShardStore(spark, str(tmp_path / "store"), target=40_000, fan_in=3)
+    for k in range(5):
+        store.append(made.where(F.col("doc_id") % 5 == k).coalesce(1), rows_a_file=20)
+    before = store.manifest()
+    assert before.version == 5 and len(before.files) == 20
+    after = store.compact()
+    assert after.version > 5 and len(after.files) < 20 and not compaction.plan_merges(after.files, 40_000, 3)
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, made.collect())) == sorted(map(tuple, store.read(5).collect()))
+    with pytest.raises(compaction.Conflict):
+        store.commit(before, after.schema, before.files)
+    assert store.manifest() == after and store.vacuum() >= 20 - len(after.files)
+    assert store.read().count() == 400
+    got = compaction.sharded(docs).collect()
+    assert Counter((r.doc_id, r.text_sha256) for r in got) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in base_rows())
+    assert compaction.sharded(empty).count() == 0
