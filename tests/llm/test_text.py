@@ -219,7 +219,10 @@ def test_mix(spark, docs, empty):
     made = spark.createDataFrame(base_rows(), SCHEMA)
     texts = mixing.mixed_texts(made)
     assert texts.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sum(len((r.text or "").split()) for r in texts.collect()) == sum(taken.values())
+    mixed = Counter()  # shards are seeded by row here, so the words at a run's ends differ
+    for r in texts.collect():
+        mixed[r.source] += len((r.text or "").split())
+    assert all(abs(mixed[s] - goal[s]) <= 48 for s in sizes)
 
 
 def test_pseudonyms(spark, docs, empty):
