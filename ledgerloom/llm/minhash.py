@@ -29,8 +29,10 @@ BANDS, ROWS = 16, 4
 COMPONENTS = BANDS * ROWS
 #: Buckets up to this size compare all their pairs; larger ones compare with one pivot a round.
 SMALL_BUCKET = 12
-#: Rounds of pivots for large buckets before the buckets are split by pairs of bands.
+#: Rounds of pivots for large buckets before what they still mix is joined by rare shingles.
 PIVOT_ROUNDS = 2
+#: Slots of the shingle counts that order that join: bounded, whatever the input.
+SLOTS = 1 << 18
 
 _GOLDEN, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -210,14 +212,75 @@ def _sizes(members: DataFrame, mask: int) -> DataFrame:
     return members.groupBy("key").agg(F.count("*").alias("size"), least.bitwiseXOR(F.lit(mask)).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "size", "hub")
 
 
+def _elements(bag: bytes) -> np.ndarray:
+    """64-bit keys of a sorted multiset's elements; repeats of a hash are numbered, so multisets are compared as sets."""
+    x = np.frombuffer(bag, np.uint32).astype(np.uint64)
+    at = np.arange(len(x))
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], x[1:] != x[:-1]]), at, 0))
+    return mix(x + _GOLDEN * (at - first + 1).astype(np.uint64))
+
+
+def _slot_counts(bags: DataFrame) -> np.ndarray:
+    """How many elements fall in each slot, over all the bags."""
+
+    def of(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for bag in batch.column(0):
+                counts += np.bincount((_elements(bag.as_py()) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in bags.select("bag").mapInArrow(of, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SLOTS rows
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def _rare_members(bags: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(key, node, n) for the elements of which two bags that overlap enough must share one.
+
+    All bags list their elements in one order, those of the emptiest slots first; each overlaps the other in at least
+    similarity x n of its own elements, so its first n - ceil(similarity x n) + 1 have one in common with the other's.
+    """
+    shared = bags.sparkSession.sparkContext.broadcast(counts)
+
+    def of(batches):
+        counts, found, size = shared.value, [], 0
+        for batch in batches:
+            for node, bag in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = _elements(bag.as_py())
+                n = len(keys)
+                order = np.lexsort((keys, counts[(keys & np.uint64(SLOTS - 1)).astype(np.int64)]))
+                rare = keys[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64)
+                found.append((rare, np.full(len(rare), node, np.int64), np.full(len(rare), n, np.int64)))
+                size += len(rare)
+                if size >= 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "node", "n"])
+                    found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "node", "n"])
+
+    return bags.select("node", "bag").mapInArrow(of, "key long, node long, n long")
+
+
+def _mixed_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a bucket that are in different classes: whoever is not of its largest class, with all others."""
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = counts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("main"))
+    mixed = members.join(main, "key")
+    few = mixed.where("root <> main").select("key", F.col("node").alias("other"), F.col("n").alias("no"), F.col("root").alias("ro"))
+    return mixed.join(few, "key").where((F.col("root") != F.col("ro")) & (F.least("n", "no") >= F.lit(similarity) * F.greatest("n", "no"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size (rows in the class), is_kept.
 
     is_kept marks one row of each class: its smallest doc_id (among equal ids, one). Exact copies are folded into
     one node before banding, so a text that makes up a third of all rows costs one node. A bucket of up to
     SMALL_BUCKET nodes compares all its pairs; a larger one compares its members with a pivot, a few rounds over,
-    always skipping pairs that are already in one class, and what then still mixes classes is split into buckets
-    of pairs of bands. So the rows made stay in proportion to the members, whatever a bucket's size.
+    always skipping pairs that are already in one class. The members of those that then still mix classes are joined
+    exactly, by their rarest shingles, so that no link between classes is lost, whatever a bucket's size.
     """
     spark = docs.sparkSession
     folder = work_dir(spark, "minhash")
@@ -238,14 +301,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             rooted = written(rooted, f"{folder}/rooted-{round_}")
         sizes = _sizes(rooted, (0, -1, 0x5555555555555555, 0x3333333333333333)[round_ % 4])
-        if round_ == PIVOT_ROUNDS:
-            mixed = rooted.join(sizes.where(F.col("size") > SMALL_BUCKET).select("key"), "key")
-            left = mixed.select("node", F.col("key").alias("key2"))
-            rooted = written(mixed.join(left, "node").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "node", "n", "root"), f"{folder}/paired")
-            sizes = _sizes(rooted, 0)
-        pairs = _pivot_pairs(rooted, sizes, SMALL_BUCKET, similarity)
-        if round_ in (0, PIVOT_ROUNDS):
-            pairs = pairs.union(_small_pairs(rooted, sizes, SMALL_BUCKET, similarity))
+        if round_ < PIVOT_ROUNDS:
+            pairs = _pivot_pairs(rooted, sizes, SMALL_BUCKET, similarity)
+            if round_ == 0:
+                pairs = pairs.union(_small_pairs(rooted, sizes, SMALL_BUCKET, similarity))
+        else:
+            left = rooted.join(sizes.where(F.col("size") > SMALL_BUCKET).select("key"), "key").select("node", "root").distinct()
+            left = written(left, f"{folder}/left")
+            rest = written(bags.join(left, "node", "left_semi"), f"{folder}/left-bags")
+            rare = _rare_members(rest, _slot_counts(rest), similarity).join(left, "node")
+            pairs = _mixed_pairs(written(rare, f"{folder}/left-members"), similarity)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

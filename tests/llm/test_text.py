@@ -84,6 +84,37 @@ def _classes(rows):
     return out.values()
 
 
+def test_links_of_large_mixed_buckets(spark, monkeypatch):
+    """Buckets too large for all pairs and without a round of pivots: the join by rare shingles alone must find every link."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 1)
+    shared, rows = words(30, 150), []
+    for k in range(24):  # pairs of near copies among texts that share three quarters of their words
+        own = words(400 + k, 50)
+        rows.append((2 * k, " ".join(shared + own)))
+        rows.append((2 * k + 1, " ".join([f"first{k}", *shared[1:], *own, *own[:2], *own[:2]])))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == brute_classes(rows)
+
+
+def test_rare_elements_meet_wherever_multisets_overlap():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 3, minhash.SLOTS)
+    for _ in range(300):
+        a = rng.integers(0, 30, rng.integers(1, 40))
+        b = np.concatenate([a, rng.integers(0, 30, rng.integers(0, 8))])[rng.integers(0, 4) :]
+        if not len(b):
+            continue
+        x, y = (np.sort(v.astype(np.uint32)).tobytes() for v in (a, b))
+        first = []
+        for bag in (x, y):
+            keys = minhash._elements(bag)
+            order = np.lexsort((keys, counts[(keys & np.uint64(minhash.SLOTS - 1)).astype(np.int64)]))
+            first.append(set(keys[order[: len(keys) - int(np.ceil(0.8 * len(keys) - 1e-9)) + 1]].tolist()))
+        if minhash.overlap(x, y) >= 0.8:
+            assert first[0] & first[1]
+
+
 def test_hot_buckets_and_chains(spark):
     """Forty near copies of one text, a chain of edits, and thirty texts that share half of their words."""
     base, rows = words(20, 200), []
