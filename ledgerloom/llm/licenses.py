@@ -65,7 +65,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Colu
     vocabulary = sorted({term for _, text_ in TEMPLATES for term in _term_list(text_)})
     wanted = F.array(*[F.lit(x) for x in vocabulary])
     # Document counts of the templates' terms over all texts.
-    present = base.select(F.explode(F.array_intersect(F.split(F.lower("text"), "[^a-z0-9.-]+|[.-](?![a-z0-9])"), wanted)).alias("term"))
+    present = base.select(F.explode(F.array_intersect(_terms(F.col("text")), wanted)).alias("term"))
     df = present.groupBy("term").agg(F.count("*").alias("df"))
     total = base.agg(F.count("*").alias("docs"))
     words = spark.createDataFrame([(x,) for x in vocabulary], "term string")

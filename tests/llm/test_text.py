@@ -372,3 +372,10 @@ def test_shards(spark, docs, empty, tmp_path):
     got = compaction.sharded(docs).collect()
     assert Counter((r.doc_id, r.text_sha256) for r in got) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in base_rows())
     assert compaction.sharded(empty).count() == 0
+
+
+def test_license_scan_matches_its_sql(spark, sf):
+    import oracle
+    from ledgerloom.llm.oracles import ORACLES
+
+    assert oracle.same(licenses.op2_license_scan(spark, sf), oracle.connect(sf), ORACLES["op2_license_scan"])
