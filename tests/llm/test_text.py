@@ -115,6 +115,17 @@ def test_rare_elements_meet_wherever_multisets_overlap():
             assert first[0] & first[1]
 
 
+def test_marked_bags_hold_all_wanted(spark, monkeypatch):
+    bags = spark.range(3000).select(F.col("id").alias("node"), F.lit(b"x").alias("bag"))
+    wanted = {7 * k for k in range(200)}
+    nodes = spark.createDataFrame([(n,) for n in [*wanted, *wanted]], "node long")
+    got = [r.node for r in minhash.marked(bags, nodes).collect()]
+    assert len(got) == len(set(got)) and wanted <= set(got) and len(got) < 210
+    assert minhash.marked(bags, nodes.limit(0)).isEmpty()
+    monkeypatch.setattr(minhash, "MARK_WORDS", 2)  # so full that others pass too
+    assert wanted <= {r.node for r in minhash.marked(bags, nodes).collect()}
+
+
 def test_hot_buckets_and_chains(spark):
     """Forty near copies of one text, a chain of edits, and thirty texts that share half of their words."""
     base, rows = words(20, 200), []
