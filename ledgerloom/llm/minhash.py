@@ -33,11 +33,14 @@ SMALL_BUCKET = 12
 PIVOT_ROUNDS = 2
 #: Slots of the shingle counts that order that join: bounded, whatever the input.
 SLOTS = 1 << 18
+#: Words of 64 bits in the parity sketch that rules out pairs of that join.
+SKETCH = 8
 #: Rows of 64 bits in which wanted nodes are marked: what is broadcast to pick their bags has at most so many rows of two longs.
 MARK_WORDS = 1 << 20
 
 _GOLDEN, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 _BASE = np.uint64(0xD6E8FEB86659FD93)
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 
 
@@ -255,39 +258,52 @@ def _slot_counts(bags: DataFrame) -> np.ndarray:
 
 
 def _rare_members(bags: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(key, node, n) for the elements of which two bags that overlap enough must share one.
+    """(key, node, n, at, sketch) for the elements of which two bags that overlap enough must share one.
 
     All bags list their elements in one order, those of the emptiest slots first; each overlaps the other in at least
     similarity x n of its own elements, so its first n - ceil(similarity x n) + 1 have one in common with the other's.
+    `at` is the element's place in that order. The sketch has the parity of the bag's elements in each of 64 x SKETCH
+    hash places: two bags' sketches differ in no more places than the elements that only one of them has.
     """
     shared = bags.sparkSession.sparkContext.broadcast(counts)
 
     def of(batches):
         counts, found, size = shared.value, [], 0
+        names = ["key", "node", "n", "at", *_SKETCH]
         for batch in batches:
             for node, bag in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys = _elements(bag.as_py())
                 n = len(keys)
                 order = np.lexsort((keys, counts[(keys & np.uint64(SLOTS - 1)).astype(np.int64)]))
                 rare = keys[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64)
-                found.append((rare, np.full(len(rare), node, np.int64), np.full(len(rare), n, np.int64)))
+                parity = np.bincount((keys >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+                words = np.packbits(parity).view(np.int64)
+                found.append((rare, *(np.full(len(rare), x, np.int64) for x in (node, n)), np.arange(len(rare)), *(np.full(len(rare), x, np.int64) for x in words)))
                 size += len(rare)
                 if size >= 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
                     found, size = [], 0
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
 
-    return bags.select("node", "bag").mapInArrow(of, "key long, node long, n long")
+    return bags.select("node", "bag").mapInArrow(of, ", ".join(f"{name} long" for name in ["key", "node", "n", "at", *_SKETCH]))
 
 
 def _mixed_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of a bucket that are in different classes: whoever is not of its largest class, with all others."""
+    """The pairs of a bucket that are in different classes: whoever is not of its largest class, with all others.
+
+    Two bags with n and m elements are similar enough if they share s / (1 + s) x (n + m). A pair is passed over where the
+    shared element stands too late for that many to follow, or the sketches differ in more places than that leaves.
+    """
     counts = members.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = counts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("main"))
     mixed = members.join(main, "key")
-    few = mixed.where("root <> main").select("key", F.col("node").alias("other"), F.col("n").alias("no"), F.col("root").alias("ro"))
-    return mixed.join(few, "key").where((F.col("root") != F.col("ro")) & (F.least("n", "no") >= F.lit(similarity) * F.greatest("n", "no"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    few = mixed.where("root <> main").select("key", *(F.col(name).alias(f"other_{name}") for name in ["node", "n", "root", "at", *_SKETCH]))
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - 1e-6)
+    differ = sum((F.bit_count(F.col(name).bitwiseXOR(F.col(f"other_{name}"))) for name in _SKETCH), F.lit(0))
+    fits = (F.col("at") <= F.col("n") - need) & (F.col("other_at") <= F.col("other_n") - need) & (differ <= F.col("n") + F.col("other_n") - 2 * need)
+    pairs = mixed.join(few, (mixed["key"] == few["key"]) & (F.col("root") != F.col("other_root")) & fits)
+    return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -115,6 +115,27 @@ def test_rare_elements_meet_wherever_multisets_overlap():
             assert first[0] & first[1]
 
 
+def test_mixed_pairs_hold_every_link_and_few_others(spark):
+    rng = np.random.default_rng(6)
+    bags = []
+    for n in (3, 9, 60, 400, 3000):
+        base = rng.integers(0, 1 << 32, n)
+        bags.append(rng.integers(0, 1 << 32, 2))
+        for change in (0.0, 0.03, 0.08, 0.1, 0.11, 0.12, 0.15, 0.3):
+            bag = base.copy()
+            at = rng.random(n) < change
+            bag[at] = rng.integers(0, 1 << 32, at.sum())
+            bags += [bag, bag[: int(n * 0.9)], np.concatenate([bag, bag[: int(n * 0.2)]])]
+    rows = [(i, np.sort(b.astype(np.uint32)).tobytes()) for i, b in enumerate(bags) if len(b)]
+    table = spark.createDataFrame(rows, "node long, bag binary")
+    members = minhash._rare_members(table, minhash._slot_counts(table), 0.8).withColumn("root", F.col("node") % 50)
+    got = {(r.a, r.b) for r in minhash._mixed_pairs(members, 0.8).collect()}
+    alike = {(i, j): minhash.overlap(x, y) for i, x in rows for j, y in rows if i < j and i % 50 != j % 50}
+    links = {pair for pair, value in alike.items() if value >= 0.8}
+    assert links and links <= got <= set(alike)
+    assert not {pair for pair in got if alike[pair] < 0.2}
+
+
 def test_marked_bags_hold_all_wanted(spark, monkeypatch):
     bags = spark.range(3000).select(F.col("id").alias("node"), F.lit(b"x").alias("bag"))
     wanted = {7 * k for k in range(200)}
