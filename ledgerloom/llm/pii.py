@@ -1,13 +1,15 @@
 """Format-preserving pseudonyms of validated numbers, dates, addresses and keys, by keyed Feistel permutations.
 
 What is found (fixed patterns) and how it is checked:
-  card   13 to 19 digits, or groups of four with one kind of separator; Luhn's checksum. The payload is permuted, the check digit made anew.
-  phone  +country (area) local; all digits after the country are permuted.
+  card   13 to 19 digits, or groups of 4-4-4-4, 4-6-5 or 4-6-4 with one kind of separator; Luhn's checksum. The payload is permuted, the check digit made anew.
+  phone  +country and up to 15 digits in all, in groups or not, or without a country (ddd) ddd-dddd, ddd-ddd-dddd and ddd.ddd.dddd, with or without a 1 before; all digits after the country are permuted.
   ssn    ddd-dd-dddd in the issued ranges; permuted within them.
-  date   yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy, a day that exists in 1800..2199; permuted among those days (400 years are 189 x 773 days).
+  date   yyyy-mm-dd (also before a T and a time, which stays), dd/mm/yyyy or dd.mm.yyyy, a day that exists in 1800..2199; permuted among those days
+         (400 years are 189 x 773 days). What is no dd/mm/yyyy but mm/dd/yyyy is permuted among such (the days after the 12th, 9 x 9833).
   ip     four octets of 0..255; permuted as octets.
   email  letters and digits of the local part are permuted, each within its kind.
-  key    32 or more lower-case hexadecimal characters with both letters and digits; permuted as such.
+  key    32 or more hexadecimal characters with both letters and digits, also after 0x; permuted by value, so that spellings in
+         either case agree. Letters are capitals where the key has no small ones, and in mixed keys where a capital stood.
 What fails its check stays as it is. A permutation is keyed by the secret, the kind and the length alone, and runs over
 the digits without their separators: equal values get equal pseudonyms in every document, different values different ones.
 
@@ -28,17 +30,24 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # The patterns, in the order in which they are tried.
-KEY = "(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])"
+KEY = "(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
 EMAIL = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"
-PHONE = "\\+[0-9]{1,3}[ .-]?\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = "(?<![0-9A-Za-z.-])(?:[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])"
+LOCAL = "(?<![0-9A-Za-z.+-])(?:1[ .-])?(?:\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-]|[0-9]{3}(?<ls>[.-])[0-9]{3}\\k<ls>)[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+# 8 to 15 digits after the plus, spelled out for a look-behind.
+_COUNTED = "|".join("\\+[0-9]" + "[ .()-]{0,2}[0-9]" * n for n in range(7, 15))
+ABROAD = "(?<![0-9A-Za-z])\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,5}\\)[ .-]?)?[0-9]{1,5}(?<as>[ .-])[0-9]{2,8}(?:\\k<as>[0-9]{2,5}){0,4}" + f"(?<={_COUNTED})" + "(?![0-9A-Za-z]|[./-][0-9])"
+PHONE = "\\+[0-9]{1,3}[ .-]?\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|" + ABROAD + "|(?<![0-9A-Za-z])\\+[0-9]{8,15}(?![0-9A-Za-z])|" + LOCAL
+COUNTRY = "^(\\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3}))"
+CARD = "(?<![0-9A-Za-z.-])(?:[0-9]{4}(?<cs>[ -])[0-9]{4}\\k<cs>[0-9]{4}\\k<cs>[0-9]{4}|[0-9]{4}(?<ca>[ -])[0-9]{6}\\k<ca>[0-9]{4,5}|[0-9]{13,19})(?![0-9A-Za-z])"
 SSN = "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-DATE = "(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4})(?![0-9A-Za-z/-])"
+DATE = "(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4})(?![0-9A-SU-Za-z/-]|T(?![0-9]))"
 IP = "(?<![0-9A-Za-z.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\\.[0-9])"
 ANY = "|".join((KEY, EMAIL, PHONE, CARD, SSN, DATE, IP))
 KINDS = ("card", "phone", "ssn", "date", "ip", "email", "key")
 # Days in 400 Gregorian years, as a product.
 DAYS, DAY_HIGH, DAY_LOW, DAY_ZERO = 146097, 189, 773, "1800-01-01"
+# The days after a month's 12th in 400 Gregorian years, as a product, and in a month.
+LATE_HIGH, LATE_LOW, LATE_MONTH = 9, 9833, 88497 / 4800
 
 
 def _long(x: Column) -> Column:
@@ -60,9 +69,11 @@ def feistel(values: Column, radices: Column, key: str, tweak: Column, rounds: in
 
     def stir(part: Column, radix: Column, other: Column, tweak_: Column, round_: Column) -> Column:
         seed = F.concat_ws("|", F.lit(key), tweak_, round_.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        # Each block hashes the seed: a long one is hashed first, so that long values take linear time.
+        brief = lambda s: F.when(F.length(s) > 1024, F.sha2(s, 256)).otherwise(s)
         blocks = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(part) - 1) / 8).cast("int")), lambda b: F.sha2(F.concat_ws("|", s, b.cast("string")), 256))
         word = lambda bs, i: F.conv(F.substring(F.element_at(bs, F.floor(i / 8).cast("int") + 1), (i % 8) * 7 + 1, F.lit(7)), 16, 10).cast("long")
-        moved = let(let(seed, blocks), lambda bs: F.transform(part, lambda x, i: (x + word(bs, i)) % F.element_at(radix, i + 1)))
+        moved = let(let(let(seed, brief), blocks), lambda bs: F.transform(part, lambda x, i: (x + word(bs, i)) % F.element_at(radix, i + 1)))
         return F.when(F.size(part) == 0, part).otherwise(moved)
 
     def walk(c: Column) -> Column:
@@ -108,7 +119,8 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country, rest = F.regexp_extract(m, "^(\\+[0-9]+[ .-]?)", 1), F.regexp_extract(m, "^\\+[0-9]+[ .-]?(.*)$", 1)
+    country = F.regexp_extract(m, COUNTRY, 1)
+    rest = F.regexp_replace(m, COUNTRY, "")
     tweak = F.concat(F.lit("phone"), F.regexp_replace(country, "[^0-9]", ""))
     return F.concat(country, _refill(rest, let(_digits(rest), lambda d: feistel(d, _same(d, 10), key, tweak))))
 
@@ -125,13 +137,32 @@ def _day(m: Column) -> Column:
     return text.try_cast("date")
 
 
+def _month_first(m: Column) -> Column:
+    """The day of mm/dd/yyyy after a 12th, which dd/mm/yyyy can't be; null for others."""
+    text = F.when((F.substring(m, 3, 1) == "/") & (F.substring(m, 4, 2) > "12"), F.concat(F.substring(m, 7, 4), F.lit("-"), F.substring(m, 1, 2), F.lit("-"), F.substring(m, 4, 2)))
+    return text.try_cast("date")
+
+
 def _date(m: Column, key: str) -> Column:
-    number = F.datediff(_day(m), F.lit(DAY_ZERO).cast("date")).cast("long")
+    zero = F.lit(DAY_ZERO).cast("date")
+    number = F.datediff(_day(m), zero).cast("long")
     values = let(number, lambda n: F.array(F.floor(n / DAY_LOW), n % DAY_LOW))
     moved = feistel(values, F.array(F.lit(DAY_HIGH).cast("long"), F.lit(DAY_LOW).cast("long")), key, F.lit("date"))
     pattern = F.when(F.substring(m, 5, 1) == "-", "yyyy-MM-dd").when(F.substring(m, 3, 1) == "/", "dd/MM/yyyy").otherwise("dd.MM.yyyy")
-    day = lambda v: F.date_add(F.lit(DAY_ZERO).cast("date"), (v[0] * DAY_LOW + v[1]).cast("int"))
-    return let(moved, lambda v: F.call_function("date_format", day(v), pattern))
+    day = lambda v: F.date_add(zero, (v[0] * DAY_LOW + v[1]).cast("int"))
+    usual = let(moved, lambda v: F.call_function("date_format", day(v), pattern))
+    # Days after the 12th are numbered without the twelve before them in each month.
+    month = lambda d: (F.year(d) - 1800) * 12 + F.month(d) - 1
+    late = let(_month_first(m), lambda d: (F.datediff(d, zero) - 12 * (month(d) + 1)).cast("long"))
+    pair = let(late, lambda n: F.array(F.floor(n / LATE_LOW), n % LATE_LOW))
+    shifted = feistel(pair, F.array(F.lit(LATE_HIGH).cast("long"), F.lit(LATE_LOW).cast("long")), key, F.lit("date-month-first"))
+    before = lambda k: F.datediff(F.add_months(zero, k), zero) - 12 * k
+
+    def spelled(n: Column) -> Column:
+        guess = F.floor(n / LATE_MONTH).cast("int")
+        return let(F.when(before(guess + 1) <= n, guess + 1).when(before(guess) <= n, guess).otherwise(guess - 1), lambda k: F.call_function("date_format", F.date_add(zero, (n + 12 * (k + 1)).cast("int")), F.lit("MM/dd/yyyy")))
+
+    return F.when(_month_first(m).isNull(), usual).otherwise(let(let(shifted, lambda v: v[0] * LATE_LOW + v[1]), spelled))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -139,17 +170,15 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _spelled(text: Column, key: str, kind: str) -> Column:
-    """Letters and digits permuted, each within its kind; for keys within 0-9a-f."""
-    hexed = kind == "key"
-    spell = F.split(F.lit("0123456789abcdef"), "")
-    radix = (lambda c: F.when(c.rlike("[0-9a-f]"), F.lit(16)).otherwise(F.lit(0))) if hexed else (lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).when(c.rlike("[a-z]"), F.lit(26)).when(c.rlike("[A-Z]"), F.lit(27)).otherwise(F.lit(0)))
+    """Letters and digits permuted, each within its kind."""
+    radix = lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).when(c.rlike("[a-z]"), F.lit(26)).when(c.rlike("[A-Z]"), F.lit(27)).otherwise(F.lit(0))
 
     def value(x: Column) -> Column:
         at = F.ascii(x["c"])
-        return (F.when(at < 58, at - 48).when(at < 91, at - 65).otherwise(at - (87 if hexed else 97))).cast("long")
+        return (F.when(at < 58, at - 48).when(at < 91, at - 65).otherwise(at - 97)).cast("long")
 
     def letter(x: Column, v: Column) -> Column:
-        return F.element_at(spell, v + 1) if hexed else F.when(x["k"] == 10, F.char(v + 48)).when(x["k"] == 26, F.char(v + 97)).otherwise(F.char(v + 65))
+        return F.when(x["k"] == 10, F.char(v + 48)).when(x["k"] == 26, F.char(v + 97)).otherwise(F.char(v + 65))
 
     def spelled(chars: Column) -> Column:
         def fill(new: Column) -> Column:
@@ -166,6 +195,24 @@ def _spelled(text: Column, key: str, kind: str) -> Column:
     return let(F.transform(_chars(text), lambda c: F.struct(c.alias("c"), radix(c).alias("k"))), spelled)
 
 
+def _key(m: Column, key: str) -> Column:
+    """Hexadecimal digits permuted by value."""
+    spell = F.split(F.lit("0123456789abcdef"), "")
+
+    def spelled(chars: Column) -> Column:
+        values = F.transform(chars, lambda c: (F.ascii(c) - F.when(c < "a", 48).otherwise(87)).cast("long"))
+        pattern = F.array_join(F.transform(chars, lambda _: F.lit("16")), ".")
+        new = feistel(values, _same(values, 16), key, F.concat(F.lit("key"), F.md5(pattern)))
+        return F.transform(new, lambda v: F.element_at(spell, (v + 1).cast("int")))
+
+    def cased(new: Column) -> Column:
+        mixed = let(_chars(m), lambda old: F.zip_with(old, new, lambda o, x: F.when(o.rlike("[A-F]"), F.upper(x)).otherwise(x)))
+        text = F.array_join(new, "")
+        return F.when(~m.rlike("[A-F]"), text).when(~m.rlike("[a-f]"), F.upper(text)).otherwise(F.array_join(mixed, ""))
+
+    return let(let(_chars(F.lower(m)), spelled), cased)
+
+
 def _email(m: Column, key: str) -> Column:
     return F.concat(_spelled(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
@@ -177,10 +224,10 @@ def kind_of(m: Column) -> Column:
     area = F.substring(m, 1, 3)
     return (
         F.when(m.contains("@"), "email")
-        .when(m.startswith("+"), "phone")
+        .when(m.startswith("+") | whole(LOCAL), "phone")
         .when(whole(CARD) & F.call_function("luhn_check", F.regexp_replace(m, "[^0-9]", "")), "card")
         .when(whole(SSN) & ~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000"), "ssn")
-        .when(whole(DATE), F.when(day.between(F.lit(DAY_ZERO).cast("date"), F.lit("2199-12-31").cast("date")), "date"))
+        .when(whole(DATE), F.when(F.coalesce(day, _month_first(m)).between(F.lit(DAY_ZERO).cast("date"), F.lit("2199-12-31").cast("date")), "date"))
         .when(whole(IP), F.when(F.forall(F.split(m, "\\."), lambda x: x.cast("int") < 256), "ip"))
         .when(whole(KEY), "key")
     )
@@ -188,7 +235,7 @@ def kind_of(m: Column) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     made = {"card": _card, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "email": _email}
-    out = reduce(lambda a, k: a.when(kind == k, made[k](m, key)), made, F.when(kind == "key", _spelled(m, key, "key")))
+    out = reduce(lambda a, k: a.when(kind == k, made[k](m, key)), made, F.when(kind == "key", _key(m, key)))
     return out.otherwise(m)
 
 

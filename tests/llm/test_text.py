@@ -306,6 +306,30 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymised(empty).count() == 0 and pii.pseudonymised(docs).count() == len(base_rows())
 
 
+def test_pseudonyms_of_wider_formats(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    mixed = low[:20].upper() + low[20:]
+    given = [low, low.upper(), mixed, (low * 4)[:150], "0x" + low.upper(), "555-123-4567", "(555) 123-4567", "1-555-123-4567", "+44 20 7946 0958", "+33 1 42 68 53 00", "+15551234567", "+1 555-123-4567", "2024-02-29T12:34:56Z", "12/31/1999", "02/29/2000", "3782 822463 10005", "378282246310005", "30/13/1999", "02/30/1999"]
+    df = spark.createDataFrame([(i, f"a {x}, b") for i, x in enumerate(given)] + [(99, "+44 20 7946 0958 2024-02-29")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    got = [rows[i].text[2:-3] for i in range(len(given))]
+    shape = lambda x: re.sub("[0-9]", "0", x)
+    for old, new in list(zip(given, got, strict=True))[:17]:
+        assert new != old and len(new) == len(old) and (old[:2] == "0x" or len(old) > 30 or shape(new) == shape(old)), (old, new)
+    assert got[17:] == given[17:]
+    assert got[1] == got[0].upper() and got[2].lower() == got[0] and got[4] == "0x" + got[1]
+    assert all(not y.isalpha() or y.isupper() == x.isupper() for x, y in zip(mixed, got[2], strict=True)) and re.fullmatch("[0-9a-f]{150}", got[3])
+    assert got[10] == "+1" + re.sub("[^0-9]", "", got[11])[1:] and got[8].startswith("+44 ") and got[12].endswith("T12:34:56Z")
+    assert luhn(got[16]) and got[15].replace(" ", "") == got[16]
+    assert rows[99].n_phone == 1 and rows[99].n_date == 1
+
+
+def test_month_first_dates_are_permuted_among_themselves(spark):
+    days = spark.sql("select explode(sequence(date'1800-01-01', date'2199-12-31')) as d").where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("x"))
+    got = days.select("x", pii._date(F.col("x"), "k").alias("y")).collect()
+    assert len(got) == pii.LATE_HIGH * pii.LATE_LOW and {r.x for r in got} == {r.y for r in got}
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
 
