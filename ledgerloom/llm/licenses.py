@@ -1,13 +1,14 @@
 """License scan: sparse TF-IDF cosine of every line to header templates, then inheritance from the nearest ancestor.
 
 Lines of a text are compared with short license statements. A vector has one weight per term, count x idf; idf is
-ln((1 + documents) / (1 + documents with the term)) + 1 over all documents, counted for the templates' terms; any other
-term of a line has the idf of a term in no document, so foreign words lower the cosine. A line's license is the
+ln((1 + documents) / (1 + documents with the term)) + 1 over all documents, counted for all terms of the templates and of
+the lines, so ordinary words lower the cosine a little and rare foreign ones much. A line's license is the
 template with the highest cosine of at least THRESHOLD (ties: the first id by code point), a text's license that of its
 best line. Files named like license files pass their license to their directory; a file without a license of its own
 takes that of the nearest ancestor directory that has one, found by joining its ancestor paths with the directories.
 
-DataFrame functions only. The templates are fixed and few, so their table is broadcast; nothing else is.
+DataFrame functions only. The templates are fixed and few, so their table is broadcast; document counts are added up by
+term in each task and joined, and stored once.
 
 Defined cases: null and empty texts have no license of their own but inherit; several license files in one directory:
 the highest cosine, then the first id by code point; a null path is the root's child with no name; repeated rows give
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import work_dir, written
+
 THRESHOLD = 0.75
 
 # Statements by which files name their license.
@@ -50,11 +53,10 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
-def _vectors(lines: DataFrame, key: list[str], idf: DataFrame, top: Column) -> DataFrame:
-    """key, term, weight, norm: the lines' weighted terms. `idf` has the templates' terms only."""
+def _vectors(lines: DataFrame, key: list[str], idf: DataFrame) -> DataFrame:
+    """key, term, w: the lines' weighted terms, all of which `idf` has."""
     counts = lines.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    weighted = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", top))
-    return weighted
+    return counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Column | None = None, license_file: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -63,26 +65,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Colu
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.lit(None).cast("string") if path is None else path, F.lit("")).alias("path"), F.coalesce(F.lit(None).cast("boolean") if license_file is None else license_file, F.lit(False)).alias("is_file"))
     templates = spark.createDataFrame([(i, name, text_) for i, (name, text_) in enumerate(TEMPLATES)], "t int, license string, text string").select("t", "license", _terms(F.col("text")).alias("terms"))
     vocabulary = sorted({term for _, text_ in TEMPLATES for term in _term_list(text_)})
-    wanted = F.array(*[F.lit(x) for x in vocabulary])
-    # Document counts of the templates' terms over all texts.
-    present = base.select(F.explode(F.array_intersect(_terms(F.col("text")), wanted)).alias("term"))
-    df = present.groupBy("term").agg(F.count("*").alias("df"))
-    total = base.agg(F.count("*").alias("docs"))
-    words = spark.createDataFrame([(x,) for x in vocabulary], "term string")
-    idf = words.join(F.broadcast(df), "term", "left").crossJoin(F.broadcast(total)).select("term", "docs", (F.log((1 + F.col("docs")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    rows = idf.collect()  # as many rows as the templates have terms
-    docs_n = rows[0]["docs"]
-    idf = spark.createDataFrame([(r["term"], r["idf"]) for r in rows], "term string, idf double")
-    import math
-
-    top = F.lit(math.log(1 + docs_n) + 1)
-    template_w = _vectors(templates, ["t", "license"], idf, top)
-    norms = template_w.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
-    template_w = template_w.join(norms, "t").select("t", "license", "term", (F.col("w") / F.col("tn")).alias("tw"))
     # Lines that name a license at all; each text's lines, once per distinct line.
     lines = base.where(F.col("text").rlike(f"(?i){MARKERS}")).select("doc_id", "path", F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"(?i){MARKERS}")))).alias("line"))
     distinct = lines.select("line").distinct().withColumn("terms", _terms(F.col("line")))
-    weighted = _vectors(distinct, ["line"], idf, top)
+    # Document counts of the templates' and the lines' terms over all texts.
+    words = spark.createDataFrame([(x,) for x in vocabulary], "term string")
+    wanted = distinct.select(F.explode("terms").alias("term")).union(words).distinct()
+    held = base.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = written(wanted.join(held, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df")), f"{work_dir(spark, 'licenses')}/df")
+    idf = df.select("term", (F.log((1 + F.lit(base.count())) / (1 + F.col("df"))) + 1).alias("idf"))
+    template_w = _vectors(templates, ["t", "license"], idf)
+    norms = template_w.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
+    template_w = template_w.join(norms, "t").select("t", "license", "term", (F.col("w") / F.col("tn")).alias("tw"))
+    weighted = _vectors(distinct, ["line"], idf)
     line_norm = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
     dots = weighted.join(F.broadcast(template_w), "term").groupBy("line", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scored = dots.join(line_norm, "line").select("line", "license", F.round(F.col("dot") / F.col("ln"), 4).alias("cosine")).where(F.col("cosine") >= threshold)

@@ -1,6 +1,7 @@
 """The text operators against brute force, on small tables with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -193,6 +194,23 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_lines_weigh_terms_by_all_documents(spark):
+    line = "Licensed under the Apache License, Version 2.0."
+    texts = [f"en in u{i}" for i in range(200)] + [f"{line} en in", f"{line} {' '.join(map(str, range(900, 912)))}", f"x\n{line}"]
+    held = [set(licenses._term_list(x)) for x in texts]
+
+    def weights(text):
+        return {t: n * (math.log((1 + len(texts)) / (1 + sum(t in h for h in held))) + 1) for t, n in Counter(licenses._term_list(text)).items()}
+
+    def cosine(text):
+        a, b = weights(text), weights(line)
+        return round(sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), 4)
+
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("doc_id >= 200").collect()}
+    assert cosine(texts[200]) > 0.95 and got[200].own_license == "Apache-2.0" and abs(got[200].cosine - cosine(texts[200])) < 2e-4
+    assert cosine(texts[201]) < licenses.THRESHOLD and got[201].own_license is None and got[202].cosine == 1.0
+
+
 def test_tiff_codecs_round_trip():
     rnd = np.random.default_rng(1)
     for scheme in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
