@@ -1,8 +1,8 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over characters, up to four at once: capitals are one symbol, digits another, and the most frequent other
-characters of the trusted text have one of 64 symbols each; the rest share the last. Trusted text is at most MODEL_DOCS labelled documents of quality 1 (the least in a
-seeded order, of one half of them; limits come from all of the other half). Counts are kept and joined in Spark, dealt by n-gram: highest-order counts are occurrences, lower ones
+characters of the trusted text have one of 64 symbols each; the rest share the last. Trusted text is all labelled documents of quality 1 of
+one half of them, whole (limits come from all of the other half). Counts are kept and joined in Spark, dealt by n-gram: highest-order counts are occurrences, lower ones
 continuations; three discounts an order come from counts of counts; an n-gram's probability joins its context's total
 and the probability of its ending. The joined model has at most 64^4 rows whatever the input's size; tasks hold
 it as one table of log probabilities by n-gram and score whole texts by look-ups.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import map_slices, work_dir, written
 
 ORDER, SYMBOLS = 4, 64
-MODEL_DOCS, MODEL_CHARS = 2000, 20_000
 QUANTILE, LEAST_TRUSTED, PRIOR_CHARS = 0.995, 30, 200
 BOUNDARY, CAPITAL, DIGIT, OTHER = 0, 1, 2, SYMBOLS - 1
 
@@ -61,9 +60,13 @@ def codes(syms: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 def fit(sample: DataFrame, folder: str) -> tuple[np.ndarray, list[tuple]]:
-    """(alphabet, rows of (order, code, p or null, gamma or null)) from a sample of texts."""
-    chars = sample.select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("c")).groupBy("c").count()
-    alphabet = alphabet_of({r["c"]: r["count"] for r in chars.orderBy(F.desc("count"), "c").limit(4 * SYMBOLS).collect()})
+    """(alphabet, rows of (order, code, p or null, gamma or null)) from the trusted texts."""
+    def points(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        point, n = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(point, pa.int64()), pa.array(n, pa.int64())], names=["c", "n"])
+
+    chars = map_slices(sample.select("text"), points, "c long, n long").groupBy("c").agg(F.sum("n").alias("count"))
+    alphabet = alphabet_of({chr(r["c"]): r["count"] for r in chars.orderBy(F.desc("count"), "c").limit(4 * SYMBOLS).collect()})
 
     def grams(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         code, n = np.unique(np.concatenate([codes(symbols(x, alphabet)) for x in texts]), return_counts=True)
@@ -144,15 +147,16 @@ def _table_of(shared) -> np.ndarray:
     return _held[key]
 
 
-#: The half of the trusted documents that limits come from; the model's sample is of the other.
+#: The half of the trusted documents that limits come from; the model is of the other.
 HELD_OUT = "pmod(xxhash64(doc_id, 5L), 2) = 0"
 
 
-def train(docs: DataFrame, labels: DataFrame, folder: str, seed: int = 11) -> tuple[np.ndarray, list[tuple]] | None:
-    """The model of a bounded sample of trusted texts; None if there are none."""
-    chosen = _good(labels).where(f"not ({HELD_OUT})").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(MODEL_DOCS)
-    ids = [r["doc_id"] for r in chosen.collect()]  # at most MODEL_DOCS
-    sample = docs.where(F.col("doc_id").isin(ids) & (F.col("text") != "")).select(F.substring("text", 1, MODEL_CHARS).alias("text"))
+def train(docs: DataFrame, labels: DataFrame, folder: str) -> tuple[np.ndarray, list[tuple]] | None:
+    """The model of the whole trusted texts of the fitting half; None if there are none."""
+    chosen = _good(labels).where(f"not ({HELD_OUT})")
+    # Both sides are shuffled at any size, since the ids grow with the input; the half is taken before, so at most half of the texts move.
+    half = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"text != '' and not ({HELD_OUT})")
+    sample = half.join(chosen.hint("merge"), "doc_id", "left_semi").select("text")
     sample = written(sample, f"{folder}/sample")
     return None if sample.isEmpty() else fit(sample, folder)
 

@@ -377,6 +377,17 @@ def test_kneser_ney_sums_to_one_and_separates(spark, sf, empty):
     assert quality.classify(odd, labels.limit(0)).where("is_kept").count() == len(base_rows())
 
 
+def test_quality_model_counts_whole_trusted_texts(spark, tmp_path):
+    ids = spark.range(6000).selectExpr("id as doc_id")
+    docs = ids.selectExpr("doc_id", "repeat('ab ', 10) as text").union(ids.limit(40).selectExpr("-1 - doc_id as doc_id", "repeat('ab ', 8000) || repeat('zq ', 100) as text"))
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    model = quality.train(docs, labels, str(tmp_path / "m"))
+    chosen = docs.where(f"not ({quality.HELD_OUT})")
+    assert chosen.where("doc_id >= 0").count() > 2000 and chosen.where("doc_id < 0").count() > 0
+    assert spark.read.parquet(str(tmp_path / f"m/{quality.ORDER}")).agg(F.sum("c")).first()[0] == chosen.agg(F.sum(F.length("text"))).first()[0]
+    assert model[0][ord("q")] != quality.OTHER
+
+
 def test_unigram_counts(docs, empty):
     path = bpe.default_vocabulary()
     model = unigram.Unigram(open(path).read())
