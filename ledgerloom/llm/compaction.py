@@ -2,8 +2,8 @@
 
 Arrivals are appended as small immutable Parquet files. A file's tier is the number of times its size can be multiplied by
 FAN_IN before it reaches the target. Runs of files in one tier are merged as soon as they have FAN_IN files or fill a
-target-sized file; a merge reads its files in one task and writes one file, without a shuffle. Files of the target's
-size are left alone. After each step one manifest names the live files; it is written under a temporary name and renamed
+target-sized file; a merge reads its files in one task and writes one file, without a shuffle; the merges of a job run side by
+side, a task each. Files of the target's size are left alone. After each step one manifest names the live files; it is written under a temporary name and renamed
 to its version, which fails if that version exists, so of two writers one wins and the other starts over from what it
 finds. Readers see one version; files of older ones stay until `vacuum`.
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -67,6 +69,16 @@ def plan_merges(files: list[dict], target: int = TARGET_BYTES, fan_in: int = FAN
     return merges
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, folder: str, target: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.folder, self.target, self.fan_in = spark, folder.rstrip("/"), target, fan_in
@@ -144,6 +156,16 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{f['path']}" for f in live])
 
+    def _merge(self, merges: list[list[dict]], name: str) -> None:
+        """Writes each run of files as one file, by one task a run."""
+        parts = [self.read(files=run).coalesce(1) for run in merges]
+        # A union of single partitions is one partition unless this is off; the number is looked at before anything is written.
+        with _setting(self.spark, "spark.sql.unionOutputPartitioning", "false"):
+            both = reduce(DataFrame.union, parts)
+            whole = [both] if both._jdf.queryExecution().toRdd().getNumPartitions() == len(merges) else parts
+            for df in whole:
+                df.write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/{name}")
+
     def compact(self) -> Manifest:
         """Merges until no tier has a run to merge. Each job's merges are committed together."""
         while True:
@@ -152,8 +174,7 @@ class ShardStore:
             if not merges:
                 return now
             name = f"data/{now.version + 1:012d}-{self._token()}"
-            parts = [self.read(files=run).coalesce(1) for run in merges]
-            reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+            self._merge(merges, name)
             gone = {f["path"] for run in merges for f in run}
             try:
                 self.commit(now, now.schema, [*(f for f in now.files if f["path"] not in gone), *({**f, "made": now.version + 1} for f in self._written(name))])

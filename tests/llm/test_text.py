@@ -459,6 +459,28 @@ def test_shards(spark, docs, empty, tmp_path):
     assert compaction.sharded(empty).count() == 0
 
 
+def test_each_merge_is_a_file_and_a_task(spark, tmp_path, monkeypatch):
+    made = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id, ' ', sha2(cast(id as string), 256), sha2(cast(-id as string), 512)) as text")
+    target = 60_000
+    store = compaction.ShardStore(spark, str(tmp_path / "store"), target=target, fan_in=3)
+    for step in range(2):
+        store.append(made.where(F.col("doc_id") % 2 == step).repartition(12), rows_a_file=100)
+        planned, version = compaction.plan_merges(store.manifest().files, target, 3), store.manifest().version + 1
+        assert len(planned) > 1
+        seen = []
+        merge = store._merge
+        monkeypatch.setattr(store, "_merge", lambda merges, name, merge=merge, seen=seen: (seen.append(len(merges)), merge(merges, name)))
+        after = store.compact()
+        monkeypatch.undo()
+        first = [f for f in store.manifest(version).files if f["made"] == version]
+        assert len(first) == len(planned) == seen[0] and all(f["bytes"] <= target for f in after.files)
+    assert not compaction.plan_merges(after.files, target, 3) and store.read().count() == 3000
+    for many in (2, 5):  # as many partitions as merges, by the plan that is written
+        runs = [after.files[i : i + 1] for i in range(many)]
+        store._merge(runs, f"data/x{many}")
+        assert len(store._written(f"data/x{many}")) == many
+
+
 def test_license_scan_matches_its_sql(spark, sf):
     import oracle
     from ledgerloom.llm.oracles import ORACLES
