@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from .licenses import _TERM, MARKERS, PATH_SQL, TEMPLATES, THRESHOLD
+from .licenses import _TERM, BLANK, COMMENT, MARKERS, PATH_SQL, SPDX, TEMPLATES, THRESHOLD
 
 
 def _license_scan() -> str:
-    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    values = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
     return f"""
-with base as (select doc_id, coalesce(text, '') as text, {PATH_SQL} as path, doc_id % 10 = 0 as is_file from documents),
+with base as (select coalesce(text, '') as text, doc_id, {PATH_SQL} as path, doc_id % 10 = 0 as is_file from documents),
 templates(t, license, text) as (values {values}),
 statement as (select t, license, unnest(regexp_extract_all(lower(text), '{_TERM}')) as term from templates),
+marked as (select distinct text, is_file from base where regexp_matches(text, '(?i){MARKERS}')),
+line as (select text, line, lag(line) over w as previous, lead(line) over w as following from (select text, unnest(lines) as line, unnest(range(len(lines))) as n from (select distinct text, string_split(text, chr(10)) as lines from marked)) window w as (partition by text order by n)),
+named as (select * from line where regexp_matches(line, '(?i){MARKERS}')),
+unit as (select distinct text, unit from (
+  select text, line as unit from named union all select text, concat_ws(' ', line, following) from named union all select text, concat_ws(' ', previous, line) from named
+  union all select text, unnest(string_split_regex(text, '{BLANK}')) from marked union all select text, unnest(regexp_extract_all(text, '(?m){COMMENT}')) from marked
+  union all select text, text from marked where is_file) where regexp_matches(unit, '(?i){MARKERS}')),
+word as (select unit, unnest(regexp_extract_all(lower(unit), '{_TERM}')) as term from (select distinct unit from unit)),
 held as (select unnest(list_distinct(regexp_extract_all(lower(text), '{_TERM}'))) as term from base),
-counted as (select term, count(*) as df from held where term in (select term from statement) group by term),
+counted as (select term, count(*) as df from held where term in (select term from statement union select term from word) group by term),
 n as (select count(*) as docs from base),
-idf as (select s.term, ln((1 + n.docs) / (1 + coalesce(c.df, 0))) + 1 as idf from (select distinct term from statement) s left join counted c on s.term = c.term cross join n),
+idf as (select s.term, ln((1 + n.docs) / (1 + coalesce(c.df, 0))) + 1 as idf from (select term from statement union select term from word) s left join counted c on s.term = c.term cross join n),
 tw as (select t, license, term, count(*) * any_value(idf) as w from statement join idf using (term) group by t, license, term),
 tn as (select t, sqrt(sum(w * w)) as norm from tw group by t),
-line as (select distinct doc_id, path, line from (select doc_id, path, unnest(string_split(text, chr(10))) as line from base) where regexp_matches(line, '(?i){MARKERS}')),
-word as (select line, unnest(regexp_extract_all(lower(line), '{_TERM}')) as term from (select distinct line from line)),
-lw as (select line, term, count(*) * coalesce(any_value(idf), any_value(ln(1 + docs) + 1)) as w from word left join idf using (term) cross join n group by line, term),
-ln as (select line, sqrt(sum(w * w)) as norm from lw group by line),
-scored as (select line, license, round(sum(lw.w * tw.w) / any_value(tn.norm) / any_value(ln.norm), 4) as cosine from lw join tw using (term) join tn using (t) join ln using (line) group by line, t, license),
-ranked as (select line, license, cosine, row_number() over (partition by line order by cosine desc, license) as place from scored where cosine >= {THRESHOLD}),
-own as (select doc_id, path, license, cosine, row_number() over (partition by doc_id, path order by cosine desc, license) as place from line join ranked using (line) where ranked.place = 1),
-files as (select b.doc_id, b.path, is_file, regexp_extract(b.path, '^(.*)/[^/]*$', 1) as dir, license as own_license, cosine from base b left join own o on b.doc_id is not distinct from o.doc_id and b.path = o.path and o.place = 1),
+uw as (select unit, term, count(*) * any_value(idf) as w from word join idf using (term) group by unit, term),
+un as (select unit, sqrt(sum(w * w)) as norm from uw group by unit),
+scored as (select unit, license, round(sum(uw.w * tw.w) / any_value(tn.norm) / any_value(un.norm), 4) as cosine from uw join tw using (term) join tn using (t) join un using (unit) group by unit, t, license),
+best as (select text, license, cosine, row_number() over (partition by text order by cosine desc, license) as place from unit join scored using (unit) where cosine >= {THRESHOLD}),
+said as (select *, nullif(regexp_extract(text, '{SPDX}', 1), '') as spdx from base),
+files as (select doc_id, path, is_file, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, coalesce(spdx, license) as own_license, case when spdx is not null then 1.0::double else cosine end as cosine from said left join best on said.text = best.text and best.place = 1),
 holders as (select dir as up, own_license, row_number() over (partition by dir order by cosine desc, own_license) as place from files where is_file and own_license is not null),
 ancestors as (select dir, array_to_string(parts[1:n], '/') as up from (select dir, string_split(dir, '/') as parts, unnest(range(len(string_split(dir, '/')) + 1)) as n from (select distinct dir from files))),
 nearest as (select dir, arg_max(up, length(up)) as from_dir, arg_max(own_license, length(up)) as up_license from ancestors join holders using (up) where place = 1 group by dir)
