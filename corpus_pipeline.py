@@ -26,7 +26,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in place of personal data."""
-    out = pii.pseudonymised(docs.select("doc_id", "text", "lang", "source"), counts=False)
+    out = pii.pseudonymised(docs.select("doc_id", "text", "lang", "source"), pii.secret(spark), counts=False)
     return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,19 +14,70 @@ from pyspark.sql import DataFrame, SparkSession
 
 SLICE_CHARS = 4_000_000
 
+_local: dict[str, str] = {}
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where the session has none (tests), a temporary one is set."""
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Without one a cluster is refused; a local master has a folder of its own until the program ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) in the driver's JVM, for any that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. It stays as long as results may read it, and is removed when the application ends."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = file_system(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def put_new(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Stores a small file whole, unless one of that name exists; whether it did."""
+    fs, final = file_system(spark, path)
+    _, temporary = file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(temporary, True)
+    out.write(bytearray(data))
+    out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+    try:
+        context.rename(fs.makeQualified(temporary), fs.makeQualified(final), none)  # without OVERWRITE: fails if it exists
+        return True
+    except Exception:
+        fs.delete(temporary, False)
+        if not fs.exists(final):
+            raise
+        return False
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, where = file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def written(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     """The rows, stored once in the shared folder: later readers don't recompute them and outlive lost executors."""
-    df.write.option("compression", codec).parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import file_system, get_text, put_new, work_dir
 
 TARGET_BYTES, FAN_IN, ARRIVAL_ROWS = 32 << 20, 4, 4000
 #: Merges that one job runs, each in a task of its own.
@@ -85,10 +85,10 @@ class ShardStore:
 
     # The file system, by the driver's JVM, so that any that Spark knows will do.
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return file_system(self.spark, f"{self.folder}/{name}")[1]
 
     def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return file_system(self.spark, self.folder)[0]
 
     def _list(self, name: str) -> list[tuple[str, int]]:
         fs, path = self._fs(), self._path(name)
@@ -102,29 +102,13 @@ class ShardStore:
         if version is None and not known:
             return Manifest()
         name = f"manifests/{(max(known) if version is None else version):012d}.json"
-        stream = self._fs().open(self._path(name))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Manifest(**json.loads(text))
+        return Manifest(**json.loads(get_text(self.spark, f"{self.folder}/{name}")))
 
     def commit(self, after: Manifest, schema: str, files: list[dict]) -> Manifest:
         """The version that follows `after`, or Conflict; nobody sees half of it."""
         new = Manifest(after.version + 1, schema, files)
-        fs, temporary, final = self._fs(), self._path(f"manifests/.{new.version:012d}-{id(new)}.tmp"), self._path(f"manifests/{new.version:012d}.json")
-        out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps(new.__dict__).encode()))
-        out.close()
-        options = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            options.rename(fs.makeQualified(temporary), fs.makeQualified(final), none)  # without OVERWRITE: fails if it exists
-        except Exception as error:
-            if fs.exists(final):
-                fs.delete(temporary, False)
-                raise Conflict(new.version) from error
-            raise
+        if not put_new(self.spark, f"{self.folder}/manifests/{new.version:012d}.json", json.dumps(new.__dict__).encode()):
+            raise Conflict(new.version)
         return new
 
     def _written(self, name: str) -> list[dict]:

@@ -7,31 +7,43 @@ What is found (fixed patterns) and how it is checked:
   date   yyyy-mm-dd (also before a T and a time, which stays), dd/mm/yyyy or dd.mm.yyyy, a day that exists in 1800..2199; permuted among those days
          (400 years are 189 x 773 days). What is no dd/mm/yyyy but mm/dd/yyyy is permuted among such (the days after the 12th, 9 x 9833).
   ip     four octets of 0..255; permuted as octets.
+  ip6    eight groups, or fewer with one ::, in the global (2000::/3), local (fc00::/7) and link (fe80::/10) ranges. The first
+         group stays, the other seven are permuted as numbers, so that all spellings agree, and written out.
   email  letters and digits of the local part are permuted, each within its kind.
+  token  access keys by their public prefixes (AKIA, ASIA, AROA, AIDA, gh?_, AIza, sk_live_, sk_test_, xox?-), which stay; letters and
+         digits of the rest are permuted, each within its kind.
   key    32 or more hexadecimal characters with both letters and digits, also after 0x; permuted by value, so that spellings in
          either case agree. Letters are capitals where the key has no small ones, and in mixed keys where a capital stood.
 What fails its check stays as it is. A permutation is keyed by the secret, the kind and the length alone, and runs over
 the digits without their separators: equal values get equal pseudonyms in every document, different values different ones.
 
-DataFrame functions only.
+The secret is an argument, and `secret` gives a session's: the setting spark.ledgerloom.pii.key or, where that is unset, a random one
+that is made once in the shared folder and stays there, so that all runs that share the folder agree.
+
+DataFrame functions only. Every repeated group is bounded or possessive, so that no text overflows the matcher's stack.
 
 Defined cases: a null text stays null and counts 0; repeated rows give repeated rows; texts without matches come back
-unchanged; extra columns are kept by `pseudonymised`; an empty table gives an empty result.
+unchanged; extra columns are kept by `pseudonymised`, whatever their names: a count's column whose name is taken gets an
+underscore after it; labels of a mail domain have at most 63 characters and there are at most 127; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import get_text, put_new, shared_root
+
 ROUNDS = 8
+SETTING, KEY_FILE = "spark.ledgerloom.pii.key", "ledgerloom-pii.key"
 
 # The patterns, in the order in which they are tried.
 KEY = "(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
-EMAIL = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"
+EMAIL = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}+\\.){1,126}[A-Za-z]{2,63}(?![A-Za-z])"
 LOCAL = "(?<![0-9A-Za-z.+-])(?:1[ .-])?(?:\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-]|[0-9]{3}(?<ls>[.-])[0-9]{3}\\k<ls>)[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
 # 8 to 15 digits after the plus, spelled out for a look-behind.
 _COUNTED = "|".join("\\+[0-9]" + "[ .()-]{0,2}[0-9]" * n for n in range(7, 15))
@@ -42,8 +54,11 @@ CARD = "(?<![0-9A-Za-z.-])(?:[0-9]{4}(?<cs>[ -])[0-9]{4}\\k<cs>[0-9]{4}\\k<cs>[0
 SSN = "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 DATE = "(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4})(?![0-9A-SU-Za-z/-]|T(?![0-9]))"
 IP = "(?<![0-9A-Za-z.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\\.[0-9])"
-ANY = "|".join((KEY, EMAIL, PHONE, CARD, SSN, DATE, IP))
-KINDS = ("card", "phone", "ssn", "date", "ip", "email", "key")
+IP6 = "(?<![0-9A-Za-z:.])(?:[23][0-9a-fA-F]{3}|[fF][cCdD][0-9a-fA-F]{2}|[fF][eE][89abAB][0-9a-fA-F])(?::[0-9a-fA-F]{0,4}){2,7}(?![0-9A-Za-z:])"
+PREFIX = "AKIA|ASIA|AROA|AIDA|gh[pousr]_|AIza|sk_(?:live|test)_|xox[abpr]-"
+TOKEN = "(?<![0-9A-Za-z_-])(?:A(?:KIA|SIA|ROA|IDA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,251}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,247}|xox[abpr]-[0-9A-Za-z-]{10,250})(?![0-9A-Za-z_-])"
+ANY = "|".join((KEY, EMAIL, TOKEN, IP6, PHONE, CARD, SSN, DATE, IP))
+KINDS = ("card", "phone", "ssn", "date", "ip", "ip6", "email", "token", "key")
 # Days in 400 Gregorian years, as a product.
 DAYS, DAY_HIGH, DAY_LOW, DAY_ZERO = 146097, 189, 773, "1800-01-01"
 # The days after a month's 12th in 400 Gregorian years, as a product, and in a month.
@@ -169,6 +184,33 @@ def _ip(m: Column, key: str) -> Column:
     return let(F.transform(F.split(m, "\\."), _long), lambda o: F.array_join(F.transform(feistel(o, _same(o, 256), key, F.lit("ip")), lambda x: x.cast("string")), "."))
 
 
+def _ip6_groups(m: Column) -> Column:
+    """Eight numbers; null for what is no address."""
+    halves = F.split(m, "::", -1)
+    part = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":", -1))
+
+    def whole(h: Column) -> Column:
+        left, right = part(h[0]), F.when(F.size(h) == 2, part(F.get(h, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        lacking = 8 - F.size(left) - F.size(right)
+        fits = F.when(F.size(h) == 1, lacking == 0).otherwise((F.size(h) == 2) & (lacking >= 1))
+        return F.when(fits, F.concat(left, F.array_repeat(F.lit("0"), lacking), right))
+
+    return let(let(halves, whole), lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9a-fA-F]{1,4}$")), F.transform(g, lambda x: F.conv(x, 16, 10).cast("long"))))
+
+
+def _ip6(m: Column, key: str) -> Column:
+    def new(g: Column) -> Column:
+        rest = F.slice(g, F.lit(2), F.lit(7))
+        return let(feistel(rest, _same(rest, 65536), key, F.concat(F.lit("ip6"), g[0].cast("string"))), lambda r: F.array_join(F.transform(r, lambda x: F.lower(F.hex(x))), ":"))
+
+    return let(F.concat_ws(":", F.substring(m, 1, 4), let(_ip6_groups(m), new)), lambda out: F.when(m.rlike("[A-F]"), F.upper(out)).otherwise(out))
+
+
+def _token(m: Column, key: str) -> Column:
+    prefix = F.regexp_extract(m, f"^(?:{PREFIX})", 0)
+    return F.concat(prefix, let(F.substring(m, F.length(prefix) + 1, F.length(m)), lambda rest: _spelled(rest, key, "token")))
+
+
 def _spelled(text: Column, key: str, kind: str) -> Column:
     """Letters and digits permuted, each within its kind."""
     radix = lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).when(c.rlike("[a-z]"), F.lit(26)).when(c.rlike("[A-Z]"), F.lit(27)).otherwise(F.lit(0))
@@ -224,6 +266,8 @@ def kind_of(m: Column) -> Column:
     area = F.substring(m, 1, 3)
     return (
         F.when(m.contains("@"), "email")
+        .when(whole(TOKEN), "token")
+        .when(whole(IP6), F.when(_ip6_groups(m).isNotNull(), "ip6"))
         .when(m.startswith("+") | whole(LOCAL), "phone")
         .when(whole(CARD) & F.call_function("luhn_check", F.regexp_replace(m, "[^0-9]", "")), "card")
         .when(whole(SSN) & ~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000"), "ssn")
@@ -234,25 +278,44 @@ def kind_of(m: Column) -> Column:
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    made = {"card": _card, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "email": _email}
+    made = {"card": _card, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "ip6": _ip6, "email": _email, "token": _token}
     out = reduce(lambda a, k: a.when(kind == k, made[k](m, key)), made, F.when(kind == "key", _key(m, key)))
     return out.otherwise(m)
 
 
-def pseudonymised(docs: DataFrame, key: str = "ledgerloom", text: str = "text", counts: bool = True) -> DataFrame:
+def secret(spark: SparkSession) -> str:
+    """The session's key: its setting, or the one that the shared folder keeps."""
+    given = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if given:
+        return given
+    path = f"{shared_root(spark)}/{KEY_FILE}"
+    put_new(spark, path, secrets.token_hex(32).encode())
+    return get_text(spark, path)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in (x.lower() for x in taken):
+        name += "_"
+    return name
+
+
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:
     """The input with its text pseudonymised; with `counts` also n_<kind> columns and n_private, their sum."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    m, k = (_free(x, docs.columns) for x in ("__matches", "__kinds"))
     found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
-    kinds = F.transform("__m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    base = docs.withColumn("__m", found).withColumn("__k", F.when(F.size("__m") > 0, kinds))
-    has = F.exists("__k", lambda x: x["k"].isNotNull())
+    kinds = F.transform(m, lambda x: F.struct(x.alias("m"), kind_of(x).alias("k")))
+    base = docs.withColumn(m, found).withColumn(k, F.when(F.size(m) > 0, kinds))
+    has = F.exists(k, lambda x: x["k"].isNotNull())
     parts = F.split(F.col(text), ANY, -1)
-    new = F.transform("__k", lambda x: pseudonym(x["m"], x["k"], key))
+    new = F.transform(k, lambda x: pseudonym(x["m"], x["k"], key))
     joined = F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("p"), new.alias("q")), lambda x: F.array(F.coalesce(x["p"], F.lit("")), F.coalesce(x["q"], F.lit(""))))), "")
-    kind_list = F.transform("__k", lambda x: x["k"])
-    many = {f"n_{k}": F.greatest(F.coalesce(F.size(kind_list) - F.size(F.array_remove(F.transform(kind_list, lambda x: F.coalesce(x, F.lit(""))), k)), F.lit(0)), F.lit(0)) for k in KINDS} if counts else {}
-    out = base.withColumns({text: F.when(F.coalesce(has, F.lit(False)), joined).otherwise(F.col(text)), **many}).drop("__m", "__k")
-    return out.withColumn("n_private", reduce(lambda a, b: a + b, [F.col(c) for c in many])) if counts else out
+    kind_list = F.transform(k, lambda x: F.coalesce(x["k"], F.lit("")))
+    many = {_free(f"n_{kind}", docs.columns): F.greatest(F.coalesce(F.size(kind_list) - F.size(F.array_remove(kind_list, kind)), F.lit(0)), F.lit(0)) for kind in KINDS} if counts else {}
+    out = base.withColumns({text: F.when(F.coalesce(has, F.lit(False)), joined).otherwise(F.col(text)), **many}).drop(m, k)
+    return out.withColumn(_free("n_private", docs.columns), reduce(lambda a, b: a + b, [F.col(c) for c in many])) if counts else out
 
 
 def op6_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), secret(spark))

@@ -27,7 +27,7 @@ def test_stages_follow_one_another(spark, sf, tmp_path):
             want = minhash.near_duplicates(before).where("is_kept")
             assert sorted(r[0] for r in docs.select("doc_id").collect()) == sorted(r[0] for r in want.select("doc_id").collect())
         if n == 2:
-            want = {r.doc_id: r.text for r in pii.pseudonymised(before.select("doc_id", "text")).collect()}
+            want = {r.doc_id: r.text for r in pii.pseudonymised(before.select("doc_id", "text"), pii.secret(spark)).collect()}
             assert {r.doc_id: r.text for r in docs.collect()} == want
         if n == 3:
             assert {r[0] for r in docs.select("doc_id").collect()} <= {r[0] for r in before.select("doc_id").collect()}
