@@ -11,8 +11,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_CHARS = 4_000_000
+#: Rows of 64 bits in which wanted keys are marked: what is broadcast to pick their rows has at most so many rows of two longs.
+MARK_WORDS = 1 << 20
+#: Tables of up to so many narrow rows are broadcast.
+SMALL_ROWS = 100_000
 
 _local: dict[str, str] = {}
 
@@ -81,6 +86,27 @@ def written(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
+    """Whether the rows are at most `most`, looking no further than that."""
+    return df.limit(most + 1).count() <= most
+
+
+def marked(rows: DataFrame, wanted: DataFrame, key: str, words: int | None = None) -> DataFrame:
+    """The rows whose key is wanted, and others whose hash has the same bit (a later join on the key drops them).
+
+    The rows are wide, so they stay where they are and the wanted keys' bits are sent to them.
+    """
+    words = words or MARK_WORDS
+
+    def spot(name: str) -> tuple:
+        h = F.xxhash64(name)
+        return h.bitwiseAND(F.lit(words - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = spot(key)
+    bits = wanted.select(word.alias("__word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("__bits"))
+    return rows.withColumn("__word", word).join(F.broadcast(bits), "__word").where(F.getbit("__bits", bit) == 1).drop("__word", "__bits")
+
+
 def map_slices(docs: DataFrame, fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], schema: str, text: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow with batches cut so that one call sees at most about `limit` characters, or one text.
 

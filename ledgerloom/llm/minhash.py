@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, mix, work_dir, written
+from .common import map_slices, marked, mix, work_dir, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -35,8 +35,6 @@ PIVOT_ROUNDS = 2
 SLOTS = 1 << 18
 #: Words of 64 bits in the parity sketch that rules out pairs of that join.
 SKETCH = 8
-#: Rows of 64 bits in which wanted nodes are marked: what is broadcast to pick their bags has at most so many rows of two longs.
-MARK_WORDS = 1 << 20
 
 _GOLDEN, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -164,21 +162,6 @@ def overlap(a: bytes, b: bytes) -> float:
     return float(np.minimum(cx, cy).sum() / np.maximum(cx, cy).sum())
 
 
-def marked(bags: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The bags of these nodes, and of others whose hash has the same bit (a later join on the node drops them).
-
-    Bags are nearly as large as the texts, so they stay where they are and the nodes' bits are sent to them.
-    """
-
-    def spot(node: str) -> tuple:
-        h = F.xxhash64(node)
-        return h.bitwiseAND(F.lit(MARK_WORDS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")
-
-    word, bit = spot("node")
-    bits = nodes.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
-    return bags.withColumn("word", word).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).drop("word", "bits")
-
-
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough."""
 
@@ -341,7 +324,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         else:
             left = rooted.join(sizes.where(F.col("size") > SMALL_BUCKET).select("key"), "key").select("node", "root").distinct()
             left = written(left, f"{folder}/left")
-            rest = written(marked(bags, left), f"{folder}/left-bags")
+            rest = written(marked(bags, left, "node"), f"{folder}/left-bags")
             rare = _rare_members(rest, _slot_counts(rest), similarity).join(left, "node")
             pairs = _mixed_pairs(written(rare, f"{folder}/left-members"), similarity)
         pairs = pairs.distinct()
@@ -353,7 +336,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 break
             continue
         compared = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-        wanted = written(marked(bags, compared), f"{folder}/bags-{round_}")
+        wanted = written(marked(bags, compared, "node"), f"{folder}/bags-{round_}")
         found = written(verified(pairs, wanted, similarity), f"{folder}/links-{round_}")
         tried = pairs if tried is None else tried.union(pairs)
         if links is not None and found.isEmpty():

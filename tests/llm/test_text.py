@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, compaction, exact, licenses, minhash, mixing, pii, quality, tiff, unigram
+from ledgerloom.llm import bpe, common, compaction, exact, licenses, minhash, mixing, pii, quality, tiff, unigram
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -141,11 +141,11 @@ def test_marked_bags_hold_all_wanted(spark, monkeypatch):
     bags = spark.range(3000).select(F.col("id").alias("node"), F.lit(b"x").alias("bag"))
     wanted = {7 * k for k in range(200)}
     nodes = spark.createDataFrame([(n,) for n in [*wanted, *wanted]], "node long")
-    got = [r.node for r in minhash.marked(bags, nodes).collect()]
+    got = [r.node for r in common.marked(bags, nodes, "node").collect()]
     assert len(got) == len(set(got)) and wanted <= set(got) and len(got) < 210
-    assert minhash.marked(bags, nodes.limit(0)).isEmpty()
-    monkeypatch.setattr(minhash, "MARK_WORDS", 2)  # so full that others pass too
-    assert wanted <= {r.node for r in minhash.marked(bags, nodes).collect()}
+    assert common.marked(bags, nodes.limit(0), "node").isEmpty()
+    monkeypatch.setattr(common, "MARK_WORDS", 2)  # so full that others pass too
+    assert wanted <= {r.node for r in common.marked(bags, nodes, "node").collect()}
 
 
 def test_hot_buckets_and_chains(spark):
@@ -470,13 +470,68 @@ def test_feistel_is_a_permutation(spark):
         assert sorted(out) == sorted(map(tuple, digits)) and (size < 10 or out != list(map(tuple, digits)))
 
 
-def test_kneser_ney_sums_to_one_and_separates(spark, sf, empty):
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney over characters, by dictionaries of strings."""
+
+    def __init__(self, texts, order):
+        self.order, counts = order, Counter()
+        for t in texts:
+            t = self.padded(t)
+            counts.update(t[i - order + 1 : i + 1] for i in range(order - 1, len(t)))
+        self.levels = {order: counts}
+        for n in range(order - 1, 0, -1):
+            self.levels[n] = Counter(g[1:] for g in self.levels[n + 1])
+        self.floor = 1 / (len(self.levels[1]) + 1)
+        self.cuts, self.totals, self.kinds = {}, {}, {}
+        for n, level in self.levels.items():
+            of = Counter(level.values())
+            self.cuts[n] = [0, 0.5, 1.0, 1.5]
+            if of[1] * of[2] * of[3] * of[4]:
+                y = of[1] / (of[1] + 2 * of[2])
+                cuts = [1 - 2 * y * of[2] / of[1], 2 - 3 * y * of[3] / of[2], 3 - 4 * y * of[4] / of[3]]
+                self.cuts[n] = [0, *cuts] if min(cuts) > 0 else self.cuts[n]
+            for g, c in level.items():
+                self.totals[n, g[:-1]] = self.totals.get((n, g[:-1]), 0) + c
+                self.kinds[n, g[:-1]] = self.kinds.get((n, g[:-1]), 0) + self.cuts[n][min(c, 3)]
+
+    def padded(self, t):
+        t = re.sub("[0-9]", "0", t.lower())
+        return quality.BOUNDARY * (self.order - 1) + re.sub("[\t-\r]", " ", t)
+
+    def p(self, g):
+        n, low = len(g), self.floor if len(g) == 1 else self.p(g[1:])
+        total = self.totals.get((n, g[:-1]))
+        if not total:
+            return low
+        c = self.levels[n].get(g, 0)
+        return (c - self.cuts[n][min(c, 3)]) / total + self.kinds[n, g[:-1]] / total * low
+
+    def perplexity(self, t):
+        t = self.padded(t)
+        logs = [math.log(self.p(t[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(t))]
+        return math.exp(-sum(logs) / len(logs)) if logs else 1.0
+
+
+def test_kneser_ney_matches_plain_counts(spark, tmp_path, monkeypatch):
+    rnd = random.Random(11)
+    vocabulary = ["the", "of", "stone", "Wasser", "10", "日本", "語の", "한국어", "ночь", "é", "a\u0301"]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 60))) for _ in range(40)] + ["", "x", "日本語\n\t12", "zzzzqqq", "the " * 300, "the " * 300]
+    model = PlainKneserNey(texts[:25], quality.ORDER)
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(quality, "CHUNK_CHARS", 90)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    table, floor = quality.fit(df.where("doc_id < 25"), str(tmp_path / "m"))
+    assert abs(floor - model.floor) < 1e-12 and table.count() == len({g for level in model.levels.values() for g in level} | {c for _, c in model.totals})
+    got = {r.doc_id: r for r in quality.perplexities(df, table, floor).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].length == len(t) and abs(got[i].perplexity / model.perplexity(t) - 1) < 1e-4, (t, got[i], model.perplexity(t))
+    for context in ("", "e", "the ", quality.BOUNDARY * 4, "日本"):
+        assert abs(sum(model.p(context + g) for g in model.levels[1]) + model.p(context + "\u1234") - 1) < 1e-9
+
+
+def test_quality_separates(spark, sf, empty):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    import tempfile
-
-    model = quality.train(docs, labels, tempfile.mkdtemp() + "/m")
-    table = np.exp(quality.table(model[1]).astype(np.float64)).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
     got = quality.classify(docs, labels).join(labels, "doc_id").collect()
     good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
     assert sum(r.is_kept for r in good) >= 0.95 * len(good)
@@ -484,17 +539,18 @@ def test_kneser_ney_sums_to_one_and_separates(spark, sf, empty):
     assert quality.classify(empty, labels).count() == 0 and quality.kept(docs, labels.limit(0)).count() == docs.count()
     odd = spark.createDataFrame(base_rows(), SCHEMA)
     assert quality.classify(odd, labels.limit(0)).where("is_kept").count() == len(base_rows())
+    trusted = spark.createDataFrame([(i, 1) for i in range(1, 13)], "doc_id long, quality int")
+    assert sorted(map(str, (r.doc_id for r in quality.classify(odd, trusted).collect()))) == sorted(str(r[0]) for r in base_rows())
 
 
 def test_quality_model_counts_whole_trusted_texts(spark, tmp_path):
     ids = spark.range(6000).selectExpr("id as doc_id")
     docs = ids.selectExpr("doc_id", "repeat('ab ', 10) as text").union(ids.limit(40).selectExpr("-1 - doc_id as doc_id", "repeat('ab ', 8000) || repeat('zq ', 100) as text"))
     labels = docs.selectExpr("doc_id", "1 as quality")
-    model = quality.train(docs, labels, str(tmp_path / "m"))
+    quality.train(docs, labels, str(tmp_path / "m"))
     chosen = docs.where(f"not ({quality.HELD_OUT})")
     assert chosen.where("doc_id >= 0").count() > 2000 and chosen.where("doc_id < 0").count() > 0
-    assert spark.read.parquet(str(tmp_path / f"m/{quality.ORDER}")).agg(F.sum("c")).first()[0] == chosen.agg(F.sum(F.length("text"))).first()[0]
-    assert model[0][ord("q")] != quality.OTHER
+    assert spark.read.parquet(str(tmp_path / f"m/counts{quality.ORDER}")).agg(F.sum("n")).first()[0] == chosen.agg(F.sum(F.length("text"))).first()[0]
 
 
 def test_unigram_counts(docs, empty):
