@@ -348,7 +348,7 @@ def perplexities(docs: DataFrame, model: DataFrame, floor: float, text: bool = F
     """The given columns (with the text or without), perplexity (6 digits) and length (in characters)."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, shards = max(1, -(-chars // BLOCK_CHARS)), max(LEAST_SHARDS, -(-model.count() // SHARD_ROWS))
-    tasks = int(min(max(8, blocks), 1 << 16))
+    tasks = int(min(max(8, 4 * blocks), 1 << 16))  # so many that few blocks share one
     # Both the questions and the scores read this one shuffle of the texts.
     dealt = _chunked(docs, blocks).repartition(tasks, "block")
     answers = _answered(_asked(dealt, shards), model, shards)
