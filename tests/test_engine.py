@@ -1,6 +1,7 @@
 """Interfaces, decoding, the lifecycle in batch and streaming, sources, sinks, and every query against its SQL."""
 
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -14,7 +15,8 @@ from ledgerloom.abi.registry import AbiRegistry
 from ledgerloom.abi.types import AbiError, parse_abi, parse_type
 from ledgerloom.config import NetworkParams, UnknownNetwork, load_config, params_for
 from ledgerloom.engine import Engine
-from ledgerloom.lifecycle.batch import lifecycle_batch
+from ledgerloom.lifecycle import sets
+from ledgerloom.lifecycle.batch import fold_in_order, lifecycle_batch
 from ledgerloom.lifecycle.core import Event, NetworkState, Options, Raw, confirmations_seen, same_fields, step, track_block
 from ledgerloom.model import RAW_LOG
 from ledgerloom.operators.ranges import catchup, plan, resolve_start
@@ -231,6 +233,36 @@ def test_stream_equals_batch_across_restarts(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*lifecycle_batch(rows).columns).collect()), key=repr) == want
 
 
+def random_history(spark, seed, n=260):
+    """Heights that creep, jump and fall back; forks; keys seen again and again, at other heights, by either source."""
+    rnd = random.Random(seed)
+    rows, top = [], 100
+    for seq in range(n):
+        top += rnd.choice([0, 0, 0, 0, 1, 1, 1, 2, 9 if rnd.random() < 0.3 else 1])
+        block = max(90, top - rnd.choice([0, 0, 0, 0, 1, 2, 5, 14]))
+        fork = rnd.choice(["", "", "", "", "", "", "x", "y"]) if block % 3 == 0 else ""
+        key = rnd.randrange(max(1, seq // 3 - 6), seq // 3 + 2) if rnd.random() < 0.8 else rnd.randrange(n // 3)
+        event = ("Transfer", TRANSFER, "0xc", rnd.choice(["WS", "POLL"]), json.dumps({"value": str(key + (rnd.random() < 0.1))})) if rnd.random() < 0.8 else (None, None, None, "WS", None)
+        rows.append(("testnet" if rnd.random() < 0.7 else "base", seq * 7, f"0x{key:03}", key % 2, block, f"h{block}{fork}", 1000 + seq, *event))
+    return rows
+
+
+HISTORY = "network string, seq bigint, tx_hash string, log_index bigint, block_number bigint, block_hash string, observed_at bigint, event_name string, signature_hash string, contract_address string, source string, decoded_fields string"
+
+
+@pytest.mark.parametrize("options", [Options(), Options(require_poll=True), Options(invalidate_descendants=True)])
+def test_sets_equal_the_fold_on_random_histories(spark, monkeypatch, options):
+    monkeypatch.setattr(sets, "BUCKET", 64)
+    rows = []
+    for seed in range(60):  # each pair of networks is a history of its own
+        rows += [(f"{r[0]}{seed}", *r[1:]) for r in random_history(spark, seed)]
+    networks = {f"{name}{seed}": NetworkParams(depth, gap) for seed in range(60) for name, depth, gap in (("testnet", 2, 1), ("base", 6, 3))}
+    df = spark.createDataFrame(rows, HISTORY)
+    want = sorted(map(tuple, fold_in_order(df, networks, options).collect()), key=repr)
+    assert {"CONFIRMED", "INVALIDATED"} <= {r[10] for r in want} and len({r[14] for r in want}) == 4
+    assert sorted(map(tuple, lifecycle_batch(df, networks, options).collect()), key=repr) == want
+
+
 def test_engine_round_trip(spark, tmp_path):
     engine = Engine(spark, str(tmp_path), {"testnet": NetworkParams(2)})
     with pytest.raises(ValueError):
