@@ -28,7 +28,7 @@ def running_heads(raw: DataFrame, bucket: int = 65_536) -> DataFrame:
 def ancestry_window(raw: DataFrame, networks: Mapping[str, NetworkParams] = DEFAULT_NETWORKS) -> DataFrame:
     """The kept heights of each network (the last depth + 10) with their latest hash. The head is joined, not sorted for."""
     blocks = raw.groupBy("network", "block_number").agg(F.max_by("block_hash", "seq").alias("block_hash"))
-    top = F.broadcast(with_params(heads(raw), networks))
+    top = known_heads(heads(raw), networks)
     return blocks.join(top, "network").where(F.col("block_number") > F.col("last_block") - (F.col("depth") + RETENTION_BLOCKS)).select("network", "block_number", "block_hash")
 
 
@@ -38,9 +38,14 @@ def reorgs(raw: DataFrame) -> DataFrame:
     return raw.select("network", "block_number", "seq", "block_hash", before.alias("old_hash")).where("old_hash <> block_hash")
 
 
+def known_heads(last: DataFrame, networks: Mapping[str, NetworkParams]) -> DataFrame:
+    """Heads with their networks' depth and gap: a row a configured network at most, so it may be broadcast; an unknown one fails."""
+    return F.broadcast(with_params(last, networks))
+
+
 def confirmations(events: DataFrame, last: DataFrame, networks: Mapping[str, NetworkParams] = DEFAULT_NETWORKS) -> DataFrame:
     """Adds last_block, depth, gap, confirmations_seen (never below 0 nor above 32 bits)."""
-    joined = with_params(events.join(F.broadcast(last), "network"), networks)
+    joined = events.join(known_heads(last, networks), "network")
     return joined.withColumn("confirmations_seen", F.least(F.greatest(F.col("last_block") - F.col("block_number"), F.lit(0)), F.lit(2**31 - 1)).cast("int"))
 
 
@@ -53,7 +58,9 @@ def swept(seen: DataFrame) -> DataFrame:
     return seen.where(F.col("last_block") - F.col("block_number") > F.col("depth") + SWEEP_BLOCKS)
 
 
-def invalidated(events: DataFrame, reorganised: DataFrame) -> DataFrame:
-    """Events at reorganised heights that were seen before the last reorganisation there."""
-    at = reorganised.groupBy("network", "block_number").agg(F.max("seq").alias("reorg_seq"))
-    return events.join(at, ["network", "block_number"]).where("seq < reorg_seq").withColumn("status", F.lit("INVALIDATED"))
+def invalidated(decoded: DataFrame, networks: Mapping[str, NetworkParams] = DEFAULT_NETWORKS) -> DataFrame:
+    """Events (rows with the lifecycle's columns) whose height was reorganised while they were unconfirmed; what was confirmed
+    before stays so. seq is that of the reorganisation."""
+    from ..lifecycle.batch import lifecycle_batch
+
+    return lifecycle_batch(decoded, networks).where("status = 'INVALIDATED'")

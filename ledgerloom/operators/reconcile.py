@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_NETWORKS, NetworkParams, with_params
+from ..config import DEFAULT_NETWORKS, NetworkParams
+from .blocks import known_heads
 
 KEY = ["network", "tx_hash", "log_index"]
 
@@ -35,7 +36,7 @@ def divergent(decoded: DataFrame, fields: str = "decoded_fields") -> DataFrame:
 
 def gap_anomalies(merged: DataFrame, heads: DataFrame, networks: Mapping[str, NetworkParams] = DEFAULT_NETWORKS) -> DataFrame:
     """One-sided keys whose block is at least the network's gap below its head. Heads: a row a network."""
-    due = with_params(merged.join(F.broadcast(heads), "network"), networks).where(F.col("last_block") - F.col("block_number") >= F.col("gap"))
+    due = merged.join(known_heads(heads, networks), "network").where(F.col("last_block") - F.col("block_number") >= F.col("gap"))
     kind = F.when(F.col("seen_poll") & ~F.col("seen_ws"), "WS_GAP_SUSPECTED").when(F.col("seen_ws") & ~F.col("seen_poll"), "POLL_ONLY_CONFIRMED")
     details = F.concat(F.lit("seenWs="), F.col("seen_ws").cast("string"), F.lit(" seenPoll="), F.col("seen_poll").cast("string"), F.lit(" firstSeenAtEpochMillis="), F.col("first_seen").cast("string"))
     return due.withColumn("anomaly", kind).where("anomaly is not null").select(*KEY, "block_number", "anomaly", details.alias("details"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folders import work_folder
 from ..functions.hexes import hex_to_long, long_to_hex
 from ..lifecycle.batch import COLUMNS as OUT_COLUMNS
 from ..lifecycle.batch import lifecycle_batch
@@ -17,6 +15,7 @@ from ..sinks.confirmed import latest_rows
 from ..sources.progress import restore
 from ..sources.push import frame_kind_column
 from . import derived
+from .lifecycle_sql import decimal_sql, outputs_sql
 from .derived import APPROVAL, CHANGES_SQL, CURRENT_SQL, FIRST_SQL, SIGHTINGS_SQL, TRANSFER, raw_logs, subscription_changes, table
 
 QUERIES: dict = {}
@@ -107,10 +106,13 @@ def dead_letter_routing(spark, sf_dir):
     return dead.select(F.col("raw_log.seq").alias("seq"), F.col("raw_log.tx_hash").alias("tx_hash"), "abi_ref", "reason", "failed_at")
 
 
-@query(f"""select seq, event_name, topic0 as signature_hash, network, tx_hash, 'UNCONFIRMED' as status, source,
- case when event_name = 'Transfer' then concat('{{"from":"0x', lpad(substr(topic1, 27), 40, '0'), '","to":"0x', substr(topic2, 27), '","value":"', cast(amount as varchar), '"}}')
- else concat('{{"owner":"0x', substr(topic1, 27), '","spender":"0x', substr(topic2, 27), '","value":"', cast(amount as varchar), '"}}') end as decoded_fields
- from {_MATCHED} m where reason is null and event_name is not null""")
+_VALUES = """case when event_name = 'Transfer' then concat('{{"from":"0x', lpad(substr(topic1, 27), 40, '0'), '","to":"0x', substr(topic2, 27), '","value":"', {value}, '"}}')
+ else concat('{{"owner":"0x', substr(topic1, 27), '","spender":"0x', substr(topic2, 27), '","value":"', {value}, '"}}') end"""
+_DECODED = f"""(select network, tx_hash, log_index, seq, block_number, observed_at, event_name, topic0 as signature_hash, contract_address, source, {_VALUES.format(value="cast(amount as varchar)")} as decoded_fields
+ from {_MATCHED} m where reason is null and event_name is not null)"""
+
+
+@query(f"select seq, event_name, signature_hash, network, tx_hash, 'UNCONFIRMED' as status, source, decoded_fields from {_DECODED} d")
 def decoded_routing(spark, sf_dir):
     good, _ = decode.decode(raw_logs(spark, sf_dir), current(spark, sf_dir))
     return good.select("seq", "event_name", "signature_hash", "network", "tx_hash", "status", "source", "decoded_fields")
@@ -126,7 +128,9 @@ def erc20_decode_static(spark, sf_dir):
     return decode.erc20_static(raw_logs(spark, sf_dir))
 
 
-@query()
+@query(f"""select seq, event_name, case when event_name is not null then topic0 end as signature_hash, case when event_name is not null then {_VALUES.format(value=decimal_sql("sha256(tx_hash)"))} end as decoded_fields,
+ case when event_name is null then concat('no event in abiRef ''erc20'' matches topic0 ', topic0) end as error
+ from (select *, case when topic0 = '{TRANSFER}' then 'Transfer' when topic0 = '{APPROVAL}' then 'Approval' end as event_name from {SIGHTINGS_SQL} s0) s""")
 def erc20_decode_uint256(spark, sf_dir):
     """Values of the full 256 bits, through the interface decoder."""
     wide = raw_logs(spark, sf_dir).withColumn("data", F.concat(F.lit("0x"), F.sha2("tx_hash", 256)))
@@ -134,7 +138,9 @@ def erc20_decode_uint256(spark, sf_dir):
     return wide.select("seq", d.alias("d")).select("seq", "d.*")
 
 
-@query()
+@query("""select event_id as seq, 'OrderFilled' as event_name, '0x883a29c585a711196682f83262b3d548f4780b7a4c3d82b9400aac59a901af79' as signature_hash,
+ concat('{"maker":"', who, '","order":{"id":"', event_id, '","asset":{"token":"', who, '","delta":"-', event_id + 1, '"},"active":', case when event_id % 2 = 1 then 'true' else 'false' end, '},"amounts":["', user_id, '","', event_id, '"],"memo":"', event_type, '"}') as decoded_fields,
+ cast(null as varchar) as error from (select *, concat('0x', lpad(printf('%x', cast(user_id as bigint)), 40, '0')) as who from events) e""")
 def nested_orders_decode(spark, sf_dir):
     """Nested tuples, an array and a string, through the interface decoder."""
     word = lambda c: F.lpad(F.lower(F.hex(c)), 64, "0")
@@ -213,11 +219,18 @@ def reorg_heights(spark, sf_dir):
     return blocks.reorgs(raw_logs(spark, sf_dir))
 
 
-@query(f"""select s.seq, s.network, s.tx_hash, s.log_index, s.block_number, 'INVALIDATED' as status from {SIGHTINGS_SQL} s
- join (select network as n, block_number as b, max(seq) as reorg_seq from {_REORGS} r group by 1, 2) x on s.network = x.n and s.block_number = x.b where s.seq < reorg_seq""")
+_LIFE = outputs_sql(_DECODED)
+
+
+def _outputs(spark, sf_dir):
+    return lifecycle_batch(decode.decode_all(raw_logs(spark, sf_dir), current(spark, sf_dir)))
+
+
+@query(f"select seq, network, tx_hash, log_index, block_number, confirmations_seen, status from {_LIFE} o where status = 'INVALIDATED'")
 def invalidate_at_height(spark, sf_dir):
-    raw = raw_logs(spark, sf_dir)
-    return blocks.invalidated(raw, blocks.reorgs(raw)).select("seq", "network", "tx_hash", "log_index", "block_number", "status")
+    """Events that were unconfirmed when their height was reorganised."""
+    both = decode.decode_all(raw_logs(spark, sf_dir), current(spark, sf_dir))
+    return blocks.invalidated(both).select("seq", "network", "tx_hash", "log_index", "block_number", "confirmations_seen", "status")
 
 
 @query(f"""select network, block_number, block_hash from (select network, block_number, max_by(block_hash, seq) as block_hash from {SIGHTINGS_SQL} s group by 1, 2) b
@@ -265,50 +278,43 @@ def frame_classifier(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", frame_kind_column(value).alias("kind"))
 
 
-_OUTPUTS = f"""(select s.network, s.tx_hash, s.log_index, s.block_number, s.source, s.seq, case when x.b is not null and s.seq < reorg_seq then 'INVALIDATED' else 'CONFIRMED' end as status from {SIGHTINGS_SQL} s
- left join (select network as n, block_number as b, max(seq) as reorg_seq from {_REORGS} r group by 1, 2) x on s.network = x.n and s.block_number = x.b)"""
-_UPSERT = f"(select * from (select *, row_number() over (partition by network, tx_hash, log_index order by seq desc) as rn from {_OUTPUTS} o) q where rn = 1)"
+_UPSERT = f"(select * from (select *, row_number() over (partition by network, tx_hash, log_index order by seq desc, ord desc) as rn from {_LIFE} o where kind = 'CONFIRMATION') q where rn = 1)"
 
 
-def _outputs(spark, sf_dir):
-    raw = raw_logs(spark, sf_dir)
-    at = blocks.reorgs(raw).groupBy("network", "block_number").agg(F.max("seq").alias("reorg_seq"))
-    status = F.when(F.col("seq") < F.col("reorg_seq"), "INVALIDATED").otherwise("CONFIRMED")
-    none = F.lit(None).cast("string")
-    return raw.join(at, ["network", "block_number"], "left").withColumns({"status": status, "event_name": none, "signature_hash": none, "decoded_fields": none, "ord": F.lit(0)})
+def _results(spark, sf_dir):
+    return latest_rows(_outputs(spark, sf_dir).where("kind = 'CONFIRMATION'"))
 
 
 @query(f"select network, tx_hash, log_index, block_number, source, status, seq from {_UPSERT} u")
 def confirmed_upsert_view(spark, sf_dir):
-    return latest_rows(_outputs(spark, sf_dir)).select("network", "tx_hash", "log_index", "block_number", "source", "status", "seq")
+    return _results(spark, sf_dir).select("network", "tx_hash", "log_index", "block_number", "source", "status", "seq")
 
 
 @query(f"select network, tx_hash, log_index, status from {_UPSERT} u order by network, tx_hash, log_index")
 def snapshot_ordered(spark, sf_dir):
-    return latest_rows(_outputs(spark, sf_dir)).select("network", "tx_hash", "log_index", "status").orderBy("network", "tx_hash", "log_index")
+    return _results(spark, sf_dir).select("network", "tx_hash", "log_index", "status").orderBy("network", "tx_hash", "log_index")
 
 
 @query(f"select (select count(*) from {_UPSERT} u) as n_rows, (select count(*) from {_UPSERT} u where network = 'ethereum' and tx_hash = '0xtx00000010' and log_index = 1) as n_key")
 def count_for_key(spark, sf_dir):
     hit = (F.col("network") == "ethereum") & (F.col("tx_hash") == "0xtx00000010") & (F.col("log_index") == 1)
-    return latest_rows(_outputs(spark, sf_dir)).agg(F.count("*").alias("n_rows"), F.count(F.when(hit, 1)).alias("n_key"))
+    return _results(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.count(F.when(hit, 1)).alias("n_key"))
 
 
-@query()
+@query(f"select * from {_LIFE} o")
 def lifecycle_fold(spark, sf_dir):
     """The exact lifecycle over all sightings, decoded against their subscriptions."""
-    return lifecycle_batch(decode.decode_all(raw_logs(spark, sf_dir), current(spark, sf_dir)))
+    return _outputs(spark, sf_dir)
 
 
-@query()
+@query(f"select * from {_LIFE} o")
 def lifecycle_stream(spark, sf_dir):
     """The same as a stream: resolve, decode, lifecycle, over stored logs and subscription changes."""
     from ..abi.registry import AbiRegistry
     from ..streaming.lifecycle import lifecycle_stream as stream
     from ..streaming.lifecycle import resolve_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "stream")
     raw_logs(spark, sf_dir).repartition(4).write.parquet(f"{folder}/raw")
     # All changes precede the logs, so that every log sees the subscriptions as they are now.
     subscription_changes(spark, sf_dir).withColumn("seq", F.col("seq") - 10_000_000_000).write.parquet(f"{folder}/changes")

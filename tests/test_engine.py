@@ -105,6 +105,8 @@ def test_lifecycle_vectors():
     assert len(out) == 1 and not state.confirmations
     state, out = run([raw(100, tx="x"), raw(101, ev(101)), raw(102, tx="y"), raw(101, tx="z", hash_="other")])
     assert [o.status for o in out] == ["INVALIDATED"] and state.last == 101 and state.ancestry == {100: "h100", 101: "other"}
+    confirmed = [raw(100, ev(100)), raw(100, ev(100, "POLL")), *(raw(b, tx="x") for b in range(101, 113)), raw(100, tx="z", hash_="other")]
+    assert [o.status for o in run(confirmed)[1] if o.status] == ["CONFIRMED"]  # what is confirmed stays so
     _, out = run([raw(100, ev(100)), raw(100, ev(100, "POLL", "999"))])
     assert [o.anomaly for o in out] == ["DIVERGENT_DECODE"]
 
