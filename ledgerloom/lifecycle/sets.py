@@ -5,7 +5,7 @@ alone are folded in order, a task a network. Everything else goes by keys and he
 
 1. `track`: rows are reduced to the first of each (network, epoch, height, hash), where an epoch ends whenever a height shows another
    hash than before; `core.track_block` folds them into the rows at which the clock moves or a height is reorganised.
-2. `clocked`: each row gets the clock after it and the row that follows it, by windows over buckets of seq.
+2. `clocked`: each row gets the clock after it and the row that follows it, by windows over buckets of seq (of `width`).
 3. `dues`: for each height when the clock came to stand depth, gap and sweep blocks above it, and when it was reorganised.
 4. `settled`: rows are joined with their height's dues and dealt by event key; a key's few rows are folded as they stream by.
 
@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_NETWORKS, SWEEP_BLOCKS, NetworkParams, params_for, with_params
 from ..model import LIFECYCLE_OUT
+from ..operators.blocks import seq_width
 from .core import DIVERGED, Event, NetworkState, Options, Sighting, confirmations_seen, gap_details, merge, one_sided, track_block
 
-#: Width of the buckets of seq in which windows run.
-BUCKET = 65_536
 TRACK = "network string, seq bigint, at bigint, before bigint, last bigint, height bigint, is_reorg boolean"
 
 
@@ -38,14 +37,14 @@ def _before_buckets(per_bucket: DataFrame, value: str, combine) -> DataFrame:
     return per_bucket.withColumn("carry", combine(F.col(value)).over(Window.partitionBy("network").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).drop(value)
 
 
-def track(rows: DataFrame, networks: Mapping[str, NetworkParams] = DEFAULT_NETWORKS) -> DataFrame:
+def track(rows: DataFrame, width: int, networks: Mapping[str, NetworkParams] = DEFAULT_NETWORKS) -> DataFrame:
     """The rows at which a network's clock moves or a height is reorganised: TRACK."""
     base = rows.select("network", "seq", "block_number", "block_hash", "observed_at")
     heights = base.groupBy("network", "block_number").agg(F.min("block_hash").alias("a"), F.max("block_hash").alias("b")).where("a <> b").select("network", "block_number")
     before = F.lag("block_hash").over(Window.partitionBy("network", "block_number").orderBy("seq"))
     flips = base.join(heights, ["network", "block_number"]).withColumn("old", before).where("old <> block_hash").select("network", "seq", F.lit(1).alias("flip"))
     # The number of flips up to each row: within its bucket and in the buckets before.
-    bucket = F.floor(F.col("seq") / BUCKET).alias("bucket")
+    bucket = F.floor(F.col("seq") / width).alias("bucket")
     per_bucket = flips.select("network", bucket, "flip").groupBy("network", "bucket").agg(F.sum("flip").alias("n"))
     every = base.select("network", bucket).distinct().join(per_bucket, ["network", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     carried = _before_buckets(every, "n", F.sum)
@@ -73,9 +72,9 @@ def track(rows: DataFrame, networks: Mapping[str, NetworkParams] = DEFAULT_NETWO
     return ordered.mapInArrow(fold, TRACK)
 
 
-def clocked(rows: DataFrame, moves: DataFrame) -> DataFrame:
+def clocked(rows: DataFrame, moves: DataFrame, width: int) -> DataFrame:
     """The rows with `last`, the clock after them, and the next row of the network: next_seq, next_last."""
-    bucket = F.floor(F.col("seq") / BUCKET).alias("bucket")
+    bucket = F.floor(F.col("seq") / width).alias("bucket")
     names = rows.columns
     both = rows.select("*", bucket, F.lit(1).alias("is_row"), F.lit(None).cast("bigint").alias("moved")).unionByName(moves.select("network", "seq", bucket, F.lit(0).alias("is_row"), F.col("last").alias("moved")), allowMissingColumns=True)
     here = Window.partitionBy("network", "bucket").orderBy("seq", "is_row")
@@ -242,8 +241,9 @@ def settled(events: DataFrame, networks: Mapping[str, NetworkParams], options: O
 
 def lifecycle_sets(decoded: DataFrame, networks: Mapping[str, NetworkParams] = DEFAULT_NETWORKS, options: Options = Options()) -> DataFrame:
     """Confirmations and anomalies with the seq and order in which a stream would give them. seq must be unique in a network."""
-    moves = track(decoded, networks)
-    followed = clocked(decoded, moves)
+    width = seq_width(decoded)
+    moves = track(decoded, width, networks)
+    followed = clocked(decoded, moves, width)
     events = followed.where("event_name is not null").join(dues(moves, followed, networks, options), ["network", "block_number"], "left")
     out = settled(events, networks, options)
     place: Column = F.row_number().over(Window.partitionBy("network", "seq").orderBy("ord", "tx_hash", "log_index")) - 1

@@ -15,9 +15,20 @@ def heads(raw: DataFrame) -> DataFrame:
     return raw.groupBy("network").agg(F.max("block_number").alias("last_block"))
 
 
-def running_heads(raw: DataFrame, bucket: int = 65_536) -> DataFrame:
+#: Rows that a bucket of seq has, about.
+BUCKET_ROWS = 4_096
+
+
+def seq_width(rows: DataFrame, bucket_rows: int | None = None) -> int:
+    """The width of buckets of seq, however seq is spaced, that have BUCKET_ROWS rows on average."""
+    low, high, n = rows.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    return max(1, -(-(high - low + 1) // max(1, n // (bucket_rows or BUCKET_ROWS)))) if n else 1
+
+
+def running_heads(raw: DataFrame) -> DataFrame:
     """For each row the highest block of its network so far. Rows are dealt by network and seq bucket, so that a busy network is
     not one task: a maximum within the bucket, and the maximum over the buckets before it (one row a bucket)."""
+    bucket = seq_width(raw)
     dealt = raw.select("network", "seq", "block_number", F.floor(F.col("seq") / bucket).alias("bucket"))
     tops = dealt.groupBy("network", "bucket").agg(F.max("block_number").alias("top"))
     earlier = tops.withColumn("earlier", F.max("top").over(Window.partitionBy("network").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("top")

@@ -26,13 +26,13 @@ TOPICS = (
 )
 
 
+def make(spark: SparkSession, folder: str) -> bool:
+    """Makes a folder; whether it was missing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not fs.exists(path) and bool(fs.mkdirs(path))
+
+
 def provision(spark: SparkSession, folder: str) -> list[str]:
     """Makes the folders that are missing, and names them. Another process may be doing the same."""
-    made = []
-    for t in TOPICS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{t.name}")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            fs.mkdirs(path)
-            made.append(t.name)
-    return made
+    return [t.name for t in TOPICS if make(spark, f"{folder.rstrip('/')}/{t.name}")]

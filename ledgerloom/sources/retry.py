@@ -25,14 +25,14 @@ class RetriesExhausted(RpcError):
 
 def backoff_ms(attempt: int, initial: int = 200, most: int = 10_000) -> int:
     """The wait before retry `attempt`, counted from 0."""
-    return min(initial << min(max(attempt, 0), 40), most)
+    return min(initial * 2 ** max(attempt, 0), most)
 
 
 def reconnect_ms(attempt: int, initial: int = 500, most: int = 30_000) -> int:
     """The wait before reconnect `attempt`, counted from 1."""
     if attempt < 1:
         raise ValueError("attempts count from 1")
-    return min(initial * 2 ** min(attempt - 1, 40), most)
+    return min(initial * 2 ** (attempt - 1), most)
 
 
 def is_rate_limit(status: int | None, code: int | None, message: str | None) -> bool:

@@ -14,11 +14,11 @@ from ledgerloom.abi.keccak import topic0
 from ledgerloom.abi.registry import AbiRegistry
 from ledgerloom.abi.types import AbiError, parse_abi, parse_type
 from ledgerloom.config import NetworkParams, UnknownNetwork, load_config, params_for
-from ledgerloom.engine import Engine
-from ledgerloom.lifecycle import sets
+from ledgerloom.engine import Engine, state_of
 from ledgerloom.lifecycle.batch import fold_in_order, lifecycle_batch
 from ledgerloom.lifecycle.core import Event, NetworkState, Options, Raw, confirmations_seen, same_fields, step, track_block
 from ledgerloom.model import RAW_LOG
+from ledgerloom.operators import blocks
 from ledgerloom.operators.ranges import catchup, plan, resolve_start
 from ledgerloom.plans import catalog
 from ledgerloom.sources import retry, rpc
@@ -212,6 +212,201 @@ def test_push_catch_up(node):
     push.last_seen = 100
     push.run(2)
     assert [(r[4], r[8]) for r in got] == [(100, "WS"), (101, "WS"), (104, "WS")] and push.last_seen == 104
+    assert got[0][10] < got[1][10] < got[2][10]
+
+
+def test_push_connects_anew_when_addresses_change(node):
+    seen, now, lists = [], iter(range(0, 10**6, 3000)), [["0xa"]] * 4 + [["0xa", "0xb"]] * 99
+    watched = iter(lists)
+
+    def connect(addresses):
+        seen.append(addresses)
+        yield from [None] * 20
+
+    push = PushIngestion("base", retry.RpcClient(node), connect, lambda: next(watched), lambda rows: None, sleep=lambda s: seen.append(s), clock=lambda: next(now))
+    push.run(2)
+    assert seen == [["0xa"], ["0xa", "0xb"]]  # at once, without a wait
+
+
+def test_arrivals_differ_by_time_and_source():
+    log = {"address": "0xa", "blockHash": "h", "blockNumber": "0x10", "logIndex": "0x1", "transactionHash": "0x1"}
+    ws, poll, again = (rpc.Arrivals(s, n, lambda: 1_700_000_000_000) for s, n in (("WS", 0), ("POLL", 1), ("POLL", 2)))
+    rows = [rpc.to_row(log, "base", "WS", 1, a.next()) for a in (ws, poll, again, ws, ws)]
+    assert len({r[10] for r in rows}) == 5 and rows[0][10] < rows[3][10] < rows[4][10] < 2**63
+    assert rpc.Arrivals("WS", 0, lambda: 1_700_000_000_100).next() > rows[4][10] and rpc.Arrivals("POLL", 1023, lambda: 8_000_000_000_000).next() < 2**63
+
+
+def websocket_server(frames):
+    """Accepts one client, reads its subscription, and sends the frames; what it read."""
+    import base64
+    import hashlib
+    import socket
+
+    from ledgerloom.sources.websocket import GUID
+
+    listener, got = socket.create_server(("127.0.0.1", 0)), []
+
+    def run():
+        peer, _ = listener.accept()
+        data = b""
+        while b"\r\n\r\n" not in data:
+            data += peer.recv(4096)
+        key = next(x.split(b": ")[1] for x in data.split(b"\r\n") if x.lower().startswith(b"sec-websocket-key"))
+        accept = base64.b64encode(hashlib.sha1(key + GUID.encode()).digest())
+        peer.sendall(b"HTTP/1.1 101 Switching Protocols\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nSec-WebSocket-Accept: " + accept + b"\r\n\r\n")
+        head = peer.recv(2)
+        n = head[1] & 127
+        n = int.from_bytes(peer.recv(2)) if n == 126 else n
+        mask, body = peer.recv(4), b""
+        while len(body) < n:
+            body += peer.recv(n - len(body))
+        got.append(bytes(b ^ mask[i % 4] for i, b in enumerate(body)).decode())
+        for frame in frames:
+            peer.sendall(frame)
+        peer.close()
+
+    threading.Thread(target=run, daemon=True).start()
+    return f"ws://127.0.0.1:{listener.getsockname()[1]}/", got
+
+
+def test_websocket_transport(node):
+    from ledgerloom.sources.websocket import log_frames
+
+    note = json.dumps({"method": "eth_subscription", "params": {"result": {"address": "0xa", "blockHash": "h", "blockNumber": "0x68", "logIndex": "0x0", "transactionHash": "0x1", "data": "0x" + "ab" * 40_000}}}).encode()
+    ack = b'{"id":1,"result":"0x1"}'
+    frames = [bytes([129, len(ack)]) + ack, bytes([137, 2]) + b"hi", bytes([1, 126]) + (1000).to_bytes(2) + note[:1000], bytes([128, 127]) + (len(note) - 1000).to_bytes(8) + note[1000:], bytes([136, 0])]
+    url, got = websocket_server(frames)
+    rows = []
+    push = PushIngestion("base", retry.RpcClient(node), log_frames(url), lambda: ["0xa"], rows.extend, sleep=lambda s: None)
+    push.run(1)
+    assert json.loads(got[0])["params"] == ["logs", {"address": ["0xa"]}] and [(r[4], len(r[7])) for r in rows] == [(104, 80_002)]
+
+
+def test_subscription_service_and_endpoints(spark):
+    from http.server import ThreadingHTTPServer
+    from types import SimpleNamespace
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    from ledgerloom.sources import subscriptions
+    from ledgerloom.streaming.endpoint import serve
+    from ledgerloom.streaming.metrics import Metrics
+
+    class Service(Node):
+        def do_GET(self):
+            ok = "network=base" in self.path and "status=ACTIVE" in self.path
+            data = json.dumps([{"address": "0xA", "startBlock": 7}, {"address": "0xa", "startBlock": 5}, {"address": "0xb"}]).encode()
+            self.send_response(200 if ok else 500)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert subscriptions.contracts(subscriptions.fetch(url, "base")) == {"0xa": 5, "0xb": None}
+    with pytest.raises(subscriptions.SubscriptionsUnavailable):
+        subscriptions.fetch(url, "polygon")
+    server.shutdown()
+    metrics = Metrics()
+    metrics.onQueryStarted(SimpleNamespace(runId="r", name="q", id="i"))
+    metrics.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(name="q", id="i", numInputRows=5)))
+    server = serve(metrics)
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert b'input_rows_total{query="q"} 5' in urlopen(f"{url}/metrics").read() and urlopen(f"{url}/health").status == 200
+    metrics.onQueryTerminated(SimpleNamespace(runId="r", id="i", exception="boom"))
+    for path, code in (("health", 503), ("else", 404)):
+        with pytest.raises(HTTPError) as error:
+            urlopen(f"{url}/{path}")
+        assert error.value.code == code
+    server.shutdown()
+
+
+def test_strict_records_and_settings(spark, tmp_path):
+    from ledgerloom.config import load_file
+    from ledgerloom.model import integer_of_text, parsed_strictly, split_malformed
+
+    texts = ['{"network":"base","last_block":5,"more":1}', '{"network":"base"}', "{", '{"network":"base","last_block":"x"}', "[]"]
+    good, bad = parsed_strictly(spark.createDataFrame([(t,) for t in texts], "value string"), "network string, last_block bigint", ["network", "last_block"])
+    assert [tuple(r) for r in good.collect()] == [("base", 5)] and sorted(r.value for r in bad.collect()) == sorted(texts[1:])
+    assert "missing: last_block" in {r.reason for r in bad.collect()}
+    assert integer_of_text("-12") == -12
+    for value in (12, 1.5, "1e3", "", None):
+        with pytest.raises(ValueError):
+            integer_of_text(value)
+    rows = [("base", "0xa", "0x1", 0, 1, "h", [], "0x", source, 1, 1) for source in ("WS", "OTHER", None)]
+    kept, odd = split_malformed(spark.createDataFrame(rows, RAW_LOG))
+    assert (kept.count(), odd.count()) == (1, 2)
+    (tmp_path / "a.toml").write_text('max_retries = 9\n[rpc_urls]\nbase = "http://y"\n[networks.testnet]\nconfirmation_depth = 2\n')
+    settings, networks = load_file(str(tmp_path / "a.toml"), env={"RPC_URL_POLYGON": "http://p", "MAX_BLOCK_RANGE": "9"})
+    assert (settings.max_retries, settings.max_block_range, settings.rpc_urls, networks) == (9, 9, {"base": "http://y", "polygon": "http://p"}, {"testnet": NetworkParams(2)})
+    with pytest.raises(TypeError):
+        (tmp_path / "b.json").write_text('{"odd": 1}')
+        load_file(str(tmp_path / "b.json"))
+
+
+def test_database_table():
+    import sqlite3
+
+    from ledgerloom.sinks.confirmed import COLUMNS, migrate, upsert_sql
+
+    db = sqlite3.connect(":memory:")
+    for _ in range(2):
+        migrate(db, json_type="TEXT", gin=False)
+    row = dict(zip(COLUMNS, ["Transfer", "s", "base", "0xc", "0x1", 0, 5, "CONFIRMED", "WS", "{}"], strict=True))
+    for status in ("CONFIRMED", "INVALIDATED", "INVALIDATED"):
+        db.execute(upsert_sql("?"), [{**row, "status": status}[c] for c in COLUMNS])
+    assert db.execute("select status, count(*), max(updated_at) is not null from confirmed_events").fetchall() == [("INVALIDATED", 1, 1)]
+    assert {r[0] for r in db.execute("select name from sqlite_master where type = 'index' and sql is not null")} == {"confirmed_events_block", "confirmed_events_status"}
+
+
+def test_results_are_runs_that_merge(spark, tmp_path, monkeypatch):
+    from ledgerloom.sinks import confirmed
+
+    monkeypatch.setattr(confirmed, "MERGE_RUNS", 3)
+    table = confirmed.ConfirmedEvents(spark, str(tmp_path / "t"))
+    table.create()
+    for n in range(8):
+        rows = [("Transfer", "s", "base", "0xc", f"0x{k}", 0, 10_000 * n + k, "CONFIRMED" if n < 7 else "INVALIDATED", "WS", "{}", n, 0) for k in range(n, n + 3)]
+        table.upsert(spark.createDataFrame(rows, confirmed.SCHEMA))
+        assert table.count() == n + 3
+    assert sorted(r["level"] for r in table.runs()) == [0, 0, 1, 1] and len(list((tmp_path / "t").glob("run-*"))) <= 8
+    table.upsert(spark.createDataFrame([("Transfer", "s", "base", "0xc", "0x9", 0, 1, "CONFIRMED", "WS", "{}", 3, 0)], confirmed.SCHEMA))  # older: passed over
+    assert table.find("base", "0x9", 0).first().status == "INVALIDATED" and table.find("base", "0x8", 0).first().block_number == 70_008
+    assert sorted(r["level"] for r in table.runs()) == [2]
+    table.truncate()
+    assert table.count() == 0
+
+
+def test_engine_stores_all_that_it_finds(spark, node, tmp_path):
+    """Two polls and a push source into raw logs, a fork between them; then decode and lifecycle into all tables."""
+    engine = Engine(spark, str(tmp_path / "e"), {"testnet": NetworkParams(12, 3)})
+    engine.subscribe("testnet", "0xA", "erc20", 0)
+    topics = [TRANSFER, "0x" + word(1), "0x" + word(2)]
+    assert engine.poll("testnet", node, max_block_range=50) == 103 and engine.poll("testnet", node) == 103
+    progress = spark.read.json(str(tmp_path / "e/poll-progress")).collect()
+    assert [(r.progress_key, r.last_block) for r in progress] == [("testnet:0xa", 103)]
+    writer, arrivals = engine.raw_writer(rows=4), rpc.Arrivals("WS")
+    wire = lambda block, tx, fork="", address="0xA", data=9: {"address": address, "blockHash": f"0xb{block}{fork}", "blockNumber": hex(block), "data": "0x" + word(data), "logIndex": "0x0", "topics": topics, "transactionHash": tx}
+    logs = [wire(104, "0xa1"), wire(105, "0xa2"), wire(105, "0xa3", "f"), wire(106, "0xa4", address="0xnobody"), *(wire(b, f"0xc{b}") for b in range(107, 125))]
+    writer.emit([rpc.to_row(x, "testnet", "WS", 1, arrivals.next()) for x in logs])
+    writer.flush()
+    raw = spark.readStream.schema(RAW_LOG).parquet(str(tmp_path / "e/raw-logs"))
+    changes = spark.readStream.schema(engine.changes().schema).json(str(tmp_path / "e/subscriptions")).withColumn("seq", F.col("seq") * 0)
+    for _ in range(2):  # nothing new the second time
+        engine.start(raw, changes, str(tmp_path / "check")).awaitTermination()
+    n_polled = len(range(1, 104, 10))
+    assert engine.topic("raw-logs").count() == n_polled + len(logs)
+    dead = engine.topic("decode-dead-letters").collect()
+    assert sorted(r.reason.split(" ")[0] for r in dead) == ["no"] + ["topic"] * n_polled and {r.raw_log.tx_hash for r in dead if r.reason.startswith("no ")} == {"0xa4"}
+    assert engine.topic("decoded-logs").count() == len(logs) - 1
+    ended = {(r.tx_hash, r.status) for r in engine.topic("confirmed-events").collect()}
+    assert ("0xa2", "INVALIDATED") in ended and ("0xa1", "CONFIRMED") in ended and ("0xa3", "CONFIRMED") in ended
+    assert {r.anomaly for r in engine.topic("reconciliation-anomalies").collect()} == {"POLL_ONLY_CONFIRMED"}
+    assert {(r.tx_hash, r.status) for r in engine.snapshot().collect()} == ended
+    assert all((tmp_path / "e" / t).exists() for t in ("subscriptions", "poll-progress")) and engine.subscription("nobody") is None
+    entries = state_of(spark, str(tmp_path / "check/lifecycle"), "entries")
+    assert entries.count() > 0
 
 
 def decoded_rows(spark):
@@ -254,7 +449,7 @@ HISTORY = "network string, seq bigint, tx_hash string, log_index bigint, block_n
 
 @pytest.mark.parametrize("options", [Options(), Options(require_poll=True), Options(invalidate_descendants=True)])
 def test_sets_equal_the_fold_on_random_histories(spark, monkeypatch, options):
-    monkeypatch.setattr(sets, "BUCKET", 64)
+    monkeypatch.setattr(blocks, "BUCKET_ROWS", 64)
     rows = []
     for seed in range(60):  # each pair of networks is a history of its own
         rows += [(f"{r[0]}{seed}", *r[1:]) for r in random_history(spark, seed)]
