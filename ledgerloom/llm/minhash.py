@@ -175,6 +175,16 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
 
 
+#: Copies of a node's least neighbour, so that the many edges of one node are not one task's.
+SALT = 8
+
+
+def _centred(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges (u, v) with u's m; the edges of a node are dealt by v too."""
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node it reaches.
 
@@ -190,10 +200,10 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         seen, step = tuple(state), step + 1
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _centred(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, f"{folder}/{step}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _centred(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(low.select("u", F.col("m").alias("v")).union(small).distinct(), f"{folder}/{step}")
 
 
@@ -355,9 +365,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of documents, one of each class of near duplicates: that of the least doc_id (null last), of equal ones the first as stored.
 
-    Rows are numbered as they are read, so repeated ids stay apart; the input must be a stored table.
+    Rows are numbered and stored once, so that repeated ids stay apart and no later reading numbers them otherwise.
     """
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars").withColumn("line", F.monotonically_increasing_id())
+    numbered = written(numbered, f"{work_dir(docs.sparkSession, 'numbered')}/rows")
     classes = near_duplicates(numbered.select("line", "text"), "line", "text", similarity).select(F.col("doc_id").alias("line"), "class_id")
     ranked = classes.join(numbered.select("line", "doc_id"), "line")
     best = ranked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")).alias("b")).select(F.col("b.line").alias("line"))
