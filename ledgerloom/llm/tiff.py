@@ -4,7 +4,8 @@ The reader walks the chain of image directories in either byte order, gathers st
 LZW (5), deflate (8, 32946) or no compression (1) and the horizontal predictor (2), and gives one page per directory.
 
 Defined cases: null bytes and bytes that are not TIFF give no pages from `pages` and one row with an error from
-`read_pages`; a directory chain that loops ends at the first repeat; a page's damage costs that page only; repeated
+`read_pages`; a directory chain that loops ends at the first repeat, and one that leads nowhere ends with a row for the error, after the pages before it; a page's damage costs that
+page only, whatever it is; predictors other than 1 and 2, and pages of more than MAX_SAMPLES, are errors; repeated
 rows give repeated pages; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from .common import map_slices
 ROW = 192  # bytes of a row of 64 RGB pixels
 PAGE_ROWS = 1024
 TILE = 64
+#: Samples of a page, at most: what a task can hold.
+MAX_SAMPLES = 1 << 28
 
 # TIFF 6.0 tags, types and compression schemes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -139,17 +143,19 @@ def _expand(data: bytes, scheme: int, size: int) -> bytes:
     raise ValueError(f"compression {scheme}")
 
 
-def directories(data: bytes) -> list[dict[int, tuple]]:
-    """The tags of each image directory, in order."""
+def directories(data: bytes) -> Iterator[dict[int, tuple]]:
+    """The tags of each image directory, in order; raises where the chain is broken, after what came before."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise ValueError("not a TIFF")
     order = "<" if data[:2] == b"II" else ">"
     magic, at = struct.unpack_from(order + "HI", data, 2)
     if magic != 42:
         raise ValueError("not a TIFF")
-    found, seen = [], set()
-    while at and at not in seen and at + 2 <= len(data):
+    seen = set()
+    while at and at not in seen:
         seen.add(at)
+        if at + 2 > len(data):
+            raise ValueError("directory beyond the end")
         (n,) = struct.unpack_from(order + "H", data, at)
         if at + 6 + 12 * n > len(data):
             raise ValueError("directory beyond the end")
@@ -165,9 +171,8 @@ def directories(data: bytes) -> list[dict[int, tuple]]:
             if where + width * count > len(data):
                 raise ValueError("tag beyond the end")
             tags[tag] = struct.unpack_from(f"{order}{count}{letter}", data, where)
-        found.append(tags)
+        yield tags
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-    return found
 
 
 def pixels(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
@@ -176,16 +181,22 @@ def pixels(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     width, height, samples = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
     if not width or not height or any(b != 8 for b in tags.get(BITS, (8,))) or one(PLANAR, 1) != 1:
         raise ValueError("only chunky images of 8-bit samples")
-    if width * height * samples > 1 << 31:
+    if width * height * samples > MAX_SAMPLES:
         raise ValueError("image too large")
     scheme, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    if predictor not in (1, 2):
+        raise ValueError(f"predictor {predictor}")
     image = np.empty((height, width, samples), np.uint8)
     if TILE_OFFSETS in tags:
         tw, tl, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags[TILE_COUNTS]
+        if not tw or not tl:
+            raise ValueError("tiles without a size")
         across = -(-width // tw)
         boxes = [(i // across * tl, i % across * tw, tl, tw) for i in range(across * -(-height // tl))]
     else:
         step, offsets, counts = min(one(ROWS_PER_STRIP, height), height), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+        if not step:
+            raise ValueError("strips without rows")
         boxes = [(y, 0, min(step, height - y), width) for y in range(0, height, step)]
     for (y, x, h, w), offset, count in zip(boxes, offsets, counts, strict=True):
         size = h * w * samples
@@ -253,16 +264,21 @@ def read_pages(media: DataFrame, key: str = "doc_id", content: str = "content")
             for i in range(batch.num_rows):
                 rows = []
                 name, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                try:
-                    walked = directories(data) if data is not None else []
-                except (ValueError, struct.error) as error:
-                    walked, rows = [], [(name, None, None, None, None, None, str(error))]
-                for n, tags in enumerate(walked):
+                walked, n = directories(data) if data is not None else iter(()), 0
+                while True:
+                    try:
+                        tags = next(walked, None)
+                    except Exception as error:  # the chain ends here
+                        rows.append((name, n if n else None, None, None, None, None, str(error)))
+                        break
+                    if tags is None:
+                        break
                     try:
                         image = pixels(data, tags)
                         rows.append((name, n, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None))
-                    except (ValueError, KeyError, IndexError, zlib.error) as error:
-                        rows.append((name, n, None, None, None, None, str(error)))
+                    except Exception as error:  # whatever a page holds, it costs that page only
+                        rows.append((name, n, None, None, None, None, f"{type(error).__name__}: {error}"))
+                    n += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["key", "page", "width", "height", "samples", "pixels", "error"])
 
