@@ -41,6 +41,8 @@ _RARE_SPACE = tuple(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(
 _MARKS = frozenset(".,;:!?")
 #: Words, and half as many chunks, whose ids a process keeps (twice: of late, and from before).
 KEPT = 200_000
+#: Characters of those keys, about.
+KEPT_CHARS = 8_000_000
 
 
 def chunks(text: str) -> list[str]:
@@ -51,11 +53,12 @@ def chunks(text: str) -> list[str]:
 
 
 class Kept(dict):
-    """A dict of bounded size: when it is full it starts anew, and what it held is looked up in `old` until it is full again."""
+    """A dict of bounded size, by entries and by their keys' characters: when it is full it starts anew, and what it held is looked
+    up in `old` until it is full again. Keys that are long by themselves are not kept beyond the next call."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, chars: int = KEPT_CHARS):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.chars, self.size, self.old = most, chars, 0, {}
 
     def __missing__(self, key):
         self[key] = value = self.old[key]
@@ -64,9 +67,12 @@ class Kept(dict):
     def lack(self, keys: Iterable) -> list:
         """Makes room for the keys, and gives those that are not held."""
         keys = list(keys)
-        if len(self) + len(keys) > self.most and len(self):
-            self.old = dict(self)
+        fresh = sum(map(len, keys))
+        if len(self) and (len(self) + len(keys) > self.most or self.size + fresh > self.chars):
+            self.old = dict(self) if self.size <= self.chars else {}
             self.clear()
+            self.size = 0
+        self.size += fresh
         old = self.old
         return [k for k in keys if k not in self and k not in old]
 
