@@ -1,49 +1,89 @@
 """Token counts under a unigram model, by dynamic programming over a trie of the distinct words.
 
-The model is the byte-level vocabulary with log probabilities by rank, ln p(i) = -ln(i + 1) - ln H (Zipf's law; H makes
-them sum to one), so nothing is trained. A word's count is the number of tokens of its best segmentation: the highest
+The model has a probability for each piece of a public byte-level vocabulary, which is taken as it is. The probabilities are estimated
+by PASSES of expectation maximisation: the distinct words of a sample, the SAMPLE_DOCS documents whose texts have the least hashes,
+whole, are counted; a pass sums the expected number of times that each piece occurs over all segmentations of each word, by forward
+and backward sums, and the next probabilities are those sums plus SMOOTHING, scaled to one. It starts from Zipf's law by rank.
+
+A word's count is the number of tokens of its best segmentation: the highest
 sum of log probabilities, of equal ones the fewest tokens. Each batch's distinct pre-tokens (split as by the
 vocabulary's pattern) form a trie. Its depth-first walk is the walk through the sorted words: a stack holds the best
 score and count of each byte prefix on the path, a word takes over the entries of the prefix that it shares
 with the word before it and computes only what is below, and its last entry is stored as its terminal count.
 
 Defined cases: a null text is an empty text with no words and no tokens; repeated rows give repeated rows; words are
-never cut; extra columns are ignored; an empty table gives an empty result.
+never cut; extra columns are ignored; an empty table gives an empty result, and a sample without words the starting model.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept, byte_names, chunks, default_vocabulary, split_all, words_of
-from .common import map_slices
+from .common import map_slices, work_dir, written
 
 
 #: Words whose terminal counts a process keeps (twice: of late, and from before).
 KEPT = 200_000
 
 
+#: The sample that probabilities are estimated from, how often, and what each piece is given on top.
+SAMPLE_DOCS, PASSES, SMOOTHING = 1000, 2, 0.1
+
+
 class Unigram:
-    def __init__(self, text: str):
+    def __init__(self, text: str, weights: np.ndarray | None = None):
+        """`weights`: one a piece, in the order of their numbers; by default Zipf's."""
         names = byte_names()
         vocabulary = json.loads(text)["model"]["vocab"]
         pieces = sorted((i, token) for token, i in vocabulary.items() if all(c in names for c in token))
-        total = math.log(math.fsum(1 / (i + 1) for i, _ in pieces))
+        weights = np.array([1 / (i + 1) for i, _ in pieces]) if weights is None else weights
+        logs = np.log(weights / weights.sum()).tolist()
         self.tree: dict = {}  # the pieces, read backwards
         self.kept = Kept(KEPT)
         self.pieces: dict[bytes, float] = {}
-        for i, token in pieces:
+        for n, (_, token) in enumerate(pieces):
             piece = bytes(names[c] for c in token)
-            self.pieces[piece] = -math.log(i + 1) - total
+            self.pieces[piece] = logs[n]
             node = self.tree
             for b in reversed(piece):
                 node = node.setdefault(b, {})
-            node[-1] = self.pieces[piece]
+            node[-1], node[-2] = logs[n], n
+
+    def expected(self, words: dict[str, int]) -> np.ndarray:
+        """How often each piece occurs in the words (times their counts), over all segmentations by their probability."""
+        out = np.zeros(len(self.pieces))
+        for word, many in words.items():
+            data = word.encode("utf-8", "surrogatepass")
+            forward, arcs = [0.0], []
+            for end in range(len(data)):
+                node, found = self.tree, []
+                for at in range(end, -1, -1):
+                    node = node.get(data[at])
+                    if node is None:
+                        break
+                    if -1 in node:
+                        found.append((at, node[-1], node[-2]))
+                top = max(forward[at] + p for at, p, _ in found)
+                forward.append(top + math.log(math.fsum(math.exp(forward[at] + p - top) for at, p, _ in found)))
+                arcs.append(found)
+            # The share of all segmentations that goes through each place, from the end back.
+            share = [0.0] * len(data) + [float(many)]
+            for end in range(len(data), 0, -1):
+                if share[end]:
+                    for at, p, n in arcs[end - 1]:
+                        x = share[end] * math.exp(forward[at] + p - forward[end])
+                        share[at] += x
+                        out[n] += x
+        return out
 
     def known(self, words: set[str]) -> dict[str, tuple[int, float]]:
         """(tokens, score) of at least these words."""
@@ -79,24 +119,70 @@ class Unigram:
         return out
 
 
-_made: dict[int, Unigram] = {}
+_made: dict = {}
+
 
+def _model(shared) -> Unigram:
+    """The model of a broadcast (vocabulary text, weights or None), made once a worker."""
+    if shared.value is not _made.get("of"):
+        _made.update(of=shared.value, model=Unigram(*shared.value))
+    return _made["model"]
 
-def _model(text: str) -> Unigram:
-    key = hash(text)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Unigram(text)
-    return _made[key]
 
+def _word_counts(texts: list[str]) -> Counter:
+    cut = [chunks(x) for x in texts]
+    parts = split_all(set().union(*(c[1:] for c in cut)))
+    heads = Counter(w for c in cut if c[0] for w in words_of(c[0]))
+    for c, n in Counter(x for c in cut for x in c[1:]).items():
+        for w in parts[c]:
+            heads[w] += n
+    return heads
 
-def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words (pre-tokens), n_tokens, score (of the best segmentation, to 3 digits) of each whole text."""
+
+def fit(docs: DataFrame, vocabulary: str, text: str = "text", sample: int = SAMPLE_DOCS, passes: int = PASSES) -> np.ndarray | None:
+    """The pieces' weights; the driver holds one number a piece. None where the sample has no words."""
+    spark = docs.sparkSession
+    with open(vocabulary, encoding="utf-8") as file:
+        given = file.read()
+    texts = docs.select(F.col(text).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample).repartition(8, F.xxhash64("text"))
+
+    def counted(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        words = _word_counts(texts)
+        return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+    words = written(map_slices(texts, counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).repartition(8, "word"), f"{work_dir(spark, 'unigram')}/words")
+    weights = None
+    for _ in range(passes):
+        shared = spark.sparkContext.broadcast((given, weights))
+
+        def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Unigram(*shared.value)
+            total = np.zeros(len(model.pieces))
+            for batch in batches:
+                total += model.expected({w.decode("utf-8", "surrogatepass"): n for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)})
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "x"])
+
+        # Sums are rounded, so that the order in which tasks end does not show.
+        sums = words.mapInArrow(expected, "piece long, x double").groupBy("piece").agg(F.round(F.sum("x"), 6).alias("x")).collect()
+        if not sums:
+            return None
+        weights = np.full(len(Unigram(given).pieces) if weights is None else len(weights), SMOOTHING)
+        for r in sums:
+            weights[r["piece"]] += r["x"]
+        shared.unpersist()
+    return weights
+
+
+def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", weights: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_words (pre-tokens), n_tokens, score (of the best segmentation, to 3 digits) of each whole text, under the weights or
+    those of `fit`."""
+    weights = fit(docs, vocabulary, text) if weights is None else weights
     with open(vocabulary, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        shared = docs.sparkSession.sparkContext.broadcast((file.read(), weights))
 
     def of(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        model = _model(shared.value)
+        model = _model(shared)
         cut = [chunks(x) for x in texts]
         heads = {c[0]: words_of(c[0]) if c[0] else [] for c in cut}
         parts = split_all(set().union(*(c[1:] for c in cut)))

@@ -1,6 +1,7 @@
 """The text operators against brute force, on small tables with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -272,6 +273,38 @@ def test_tiff_rows_and_damage(spark):
     assert {r.key for r in got if r.error} == {3, 4}
 
 
+def test_tiff_damage_costs_its_page_only(spark):
+    images = [np.full((4, 4, 1), n, np.uint8) for n in range(3)]
+    for scheme in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE, tiff.NONE):
+        for tiled in (False, True):
+            whole, cases = tiff.encode(images, scheme, 2, tiled), []
+            at = [struct.unpack_from("<I", whole, 4)[0]]
+            for _ in range(2):
+                at.append(struct.unpack_from("<I", whole, at[-1] + 2 + 12 * struct.unpack_from("<H", whole, at[-1])[0])[0])
+
+            def changed(page, tag, value, kind=None, whole=whole, at=at):
+                data = bytearray(whole)
+                for i in range(struct.unpack_from("<H", whole, at[page])[0]):
+                    field = at[page] + 2 + 12 * i
+                    if struct.unpack_from("<H", whole, field)[0] == tag:
+                        struct.pack_into("<I", data, field + 8, value)
+                        if kind:
+                            struct.pack_into("<H", data, field, kind)
+                return bytes(data)
+
+            tags = [tiff.PREDICTOR, tiff.WIDTH, tiff.COMPRESSION, *([tiff.TILE_WIDTH, tiff.TILE_LENGTH, tiff.TILE_OFFSETS] if tiled else [tiff.ROWS_PER_STRIP, tiff.STRIP_OFFSETS])]
+            cases = [changed(1, tag, value) for tag in tags for value in ((3, 0, 9) if tag != tiff.WIDTH else (0, 1 << 31))] + [changed(1, tag, 1, 60000) for tag in tags]
+            link = bytearray(whole)
+            struct.pack_into("<I", link, at[0] + 2 + 12 * struct.unpack_from("<H", whole, at[0])[0], 1 << 30)
+            rows = [(i, c) for i, c in enumerate([whole, bytes(link), *cases])]
+            got = tiff.read_pages(spark.createDataFrame(rows, "doc_id long, content binary")).collect()
+            pages = {(r.key, r.page): r for r in got if r.error is None}
+            assert all((0, n) in pages and pages[0, n].pixels == images[n].tobytes() for n in range(3))
+            assert (1, 0) in pages and [r.page for r in got if r.key == 1 and r.error] == [1]
+            for i, _ in rows[2:]:
+                assert (i, 0) in pages and (i, 2) in pages, (i, [(r.page, r.error) for r in got if r.key == i])
+
+
 def test_media_digests(docs, empty):
     got = tiff.media_digests(docs).collect()
     want = Counter()
@@ -569,10 +602,49 @@ def test_unigram_counts(docs, empty):
         n, score = brute(w)
         assert got[w][0] == n and abs(got[w][1] - score) < 1e-9
     want = Counter((i, len(ws := bpe._find(t or "")), sum(brute(w)[0] for w in ws)) for i, t, *_ in base_rows() if len(t or "") < 5000)
-    rows = Counter((r.doc_id, r.n_words, r.n_tokens) for r in unigram.token_counts(docs, path).collect() if r.doc_id != 11)
+    zipf = np.exp([model.pieces[p] for p in model.pieces])
+    rows = Counter((r.doc_id, r.n_words, r.n_tokens) for r in unigram.token_counts(docs, path, weights=zipf).collect() if r.doc_id != 11)
     assert rows == want and unigram.token_counts(empty, path).count() == 0
 
 
+def test_unigram_weights_from_all_segmentations(spark, docs, tmp_path):
+    text = json.dumps({"model": {"vocab": {t: i for i, t in enumerate(["a", "b", "c", "ab", "bc", "abc", "ca", "Ġ", "Ġa"])}}})
+    (tmp_path / "v.json").write_text(text)
+
+    def cuts(data):
+        return [[]] if not data else [[data[:k], *rest] for k in range(1, len(data) + 1) if data[:k] in model.pieces for rest in cuts(data[k:])]
+
+    words_, weights = Counter({"abcab": 3, "cabca": 2, " a": 5, " abc": 1, "a": 4}), None
+    for _ in range(2):
+        model = unigram.Unigram(text, weights)
+        want = Counter()
+        for w, n in words_.items():
+            all_ = [(math.exp(sum(model.pieces[p] for p in c)), c) for c in cuts(w.encode())]
+            for p, c in all_:
+                for piece in c:
+                    want[piece] += n * p / sum(x for x, _ in all_)
+        got = model.expected(words_)
+        assert np.allclose(got, [want[p] for p in model.pieces])
+        weights = got + unigram.SMOOTHING
+    texts = [w for w, n in words_.items() for _ in range(n)]
+    made = unigram.fit(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"), str(tmp_path / "v.json"))
+    assert np.allclose(made, weights, atol=1e-4)
+    best = unigram.Unigram(text, made).terminals(list(words_))
+    for w, (n, score) in best.items():
+        top = max(cuts(w.encode()), key=lambda c: (sum(unigram_log[p] for p in c), -len(c))) if (unigram_log := unigram.Unigram(text, made).pieces) else None
+        assert n == len(top) and abs(score - sum(unigram_log[p] for p in top)) < 1e-9
+    got = unigram.token_counts(docs, bpe.default_vocabulary()).collect()
+    assert len(got) == len(base_rows()) and {r.n_tokens for r in got if r.doc_id in (5, 6)} == {0}
+
+
+def test_caches_are_bounded_by_characters():
+    kept = bpe.Kept(1000, chars=100)
+    for n in range(50):
+        for k in kept.lack([f"{n:03}" * 10]):
+            kept[k] = n
+        assert sum(map(len, kept)) + sum(map(len, kept.old)) <= 300 and kept[f"{n:03}" * 10] == n
+
+
 def brute_neighbours(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256((r[1] or "").encode()).digest()[:16]))
 
