@@ -105,7 +105,7 @@ class Engine:
     def resolved(self, raw: DataFrame, changes: DataFrame) -> DataFrame:
         """Streams of raw logs and subscription changes (each with seq) as raw logs with abi_ref, their decode, and reason."""
         resolved = resolve_stream(raw, changes)
-        both = resolved.withColumn("d", decoding.decoded_column(self.registry, F.col("reason").isNull()))
+        both = decoding.with_decode(resolved, self.registry, F.col("reason").isNull())
         return both.withColumns({"event_name": F.col("d.event_name"), "signature_hash": F.col("d.signature_hash"), "decoded_fields": F.col("d.decoded_fields"), "reason": F.coalesce("reason", "d.error")}).drop("d")
 
     def stream(self, raw: DataFrame, changes: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_NETWORKS, SWEEP_BLOCKS, NetworkParams, params_for, with_params
+from ..functions.folders import work_folder
 from ..model import LIFECYCLE_OUT
 from ..operators.blocks import seq_width
 from .core import DIVERGED, Event, NetworkState, Options, Sighting, confirmations_seen, gap_details, merge, one_sided, track_block
@@ -239,11 +240,18 @@ def settled(events: DataFrame, networks: Mapping[str, NetworkParams], options: O
     return dealt.mapInArrow(fold, LIFECYCLE_OUT)
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows, written once in the shared folder and read from there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lifecycle_sets(decoded: DataFrame, networks: Mapping[str, NetworkParams] = DEFAULT_NETWORKS, options: Options = Options()) -> DataFrame:
     """Confirmations and anomalies with the seq and order in which a stream would give them. seq must be unique in a network."""
     width = seq_width(decoded)
-    moves = track(decoded, width, networks)
-    followed = clocked(decoded, moves, width)
+    folder = work_folder(decoded.sparkSession, "lifecycle")
+    moves = _stored(track(decoded, width, networks), f"{folder}/moves")
+    followed = _stored(clocked(decoded, moves, width), f"{folder}/rows")
     events = followed.where("event_name is not null").join(dues(moves, followed, networks, options), ["network", "block_number"], "left")
     out = settled(events, networks, options)
     place: Column = F.row_number().over(Window.partitionBy("network", "seq").orderBy("ord", "tx_hash", "log_index")) - 1

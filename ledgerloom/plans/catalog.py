@@ -320,7 +320,7 @@ def lifecycle_stream(spark, sf_dir):
     subscription_changes(spark, sf_dir).withColumn("seq", F.col("seq") - 10_000_000_000).write.parquet(f"{folder}/changes")
     read = lambda name: spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema).parquet(f"{folder}/{name}")
     resolved = resolve_stream(read("raw"), read("changes"))
-    decoded = resolved.withColumn("d", decode.decoded_column(AbiRegistry(), F.col("reason").isNull())).select("*", "d.event_name", "d.signature_hash", "d.decoded_fields")
+    decoded = decode.with_decode(resolved, AbiRegistry(), F.col("reason").isNull()).select("*", "d.event_name", "d.signature_hash", "d.decoded_fields")
     out = stream(decoded)
     done = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()

@@ -362,7 +362,7 @@ def test_database_table():
 
 
 def test_column_functions_decode_as_the_interface_decoder(spark):
-    from ledgerloom.operators.decode import decoded_column
+    from ledgerloom.operators.decode import with_decode
 
     seed = {"kinds": json.dumps([{"type": "event", "name": "K", "inputs": [{"name": "a", "type": "int64", "indexed": True}, {"name": 'b"é', "type": "bytes4"}, {"name": "c", "type": "bool"}, {"name": "d", "type": "uint8"}]}])}
     registry = AbiRegistry(seed)
@@ -376,7 +376,7 @@ def test_column_functions_decode_as_the_interface_decoder(spark):
         data = rnd.choice([data, data, data, data.upper().replace("0X", "0x"), data[:-1], data + "zz"])
         rows.append((n, rnd.choice([topics, topics, topics, topics, [], [topic.upper()], ["0x12"] * 3, [topics[0], "0x12"], None]), rnd.choice([data, data, data, None]), ref, n % 10 != 0))
     df = spark.createDataFrame(rows, "n int, topics array<string>, data string, abi_ref string, wanted boolean")
-    got = {r.n: r.d for r in df.select("n", decoded_column(registry, F.col("wanted")).alias("d")).collect()}
+    got = {r.n: r.d for r in with_decode(df, registry, F.col("wanted")).select("n", "d").collect()}
     for n, topics, data, ref, wanted in rows:
         assert (tuple(got[n]) if got[n] else None) == (decode_log(topics, data, ref, registry.all()) if wanted else None), (topics, data, ref)
 
