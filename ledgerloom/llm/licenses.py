@@ -10,8 +10,9 @@ best unit; an SPDX-License-Identifier (the first) says it outright, as spelled,
 files pass their license to their directory; a file without a license of its own takes that of the nearest ancestor directory
 that has one, found by joining its ancestor paths with the directories.
 
-DataFrame functions only. The templates are fixed and few, so their table is broadcast; document counts are added up by
-term in each task and joined, and stored once. What joins many rows by a common notice, text or directory is repeated SALT times
+DataFrame functions only. The templates are fixed and few, so their table is broadcast. Units that can't reach the threshold even at the
+least length they can have are left out before the rest of their terms is counted; document counts are added up in each task for the
+wanted terms alone, and stored once. What joins many rows by a common notice, text or directory is repeated SALT times
 on the small side (a row for each license found), so that no key is one task's.
 
 Defined cases: null and empty texts have no license of their own but inherit; several license files in one directory:
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_dir, written
+from .common import marked, work_dir, written
 from .license_texts import FULL, TEMPLATES as TEXTS
 
 THRESHOLD = 0.75
@@ -84,18 +85,32 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Colu
     held_units = base.where("is_marked").select(digest.alias("digest"), F.explode(units(F.col("text"), F.col("is_file"))).alias("unit"))
     held_units = held_units.select("digest", "unit", F.sha2("unit", 256).alias("key"))
     distinct = written(held_units.groupBy("key").agg(_terms(F.first("unit")).alias("terms")), f"{folder}/units")
-    # Document counts of the templates' and the units' terms over all texts.
+    rows = base.count()
+
+    def idf_of(wanted: DataFrame, name: str) -> DataFrame:
+        """The idf of the wanted terms, by document counts over all texts; other terms are not shuffled."""
+        all_ = base.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+        held = marked(all_, wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+        df = written(wanted.join(held, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df")), f"{folder}/{name}")
+        return df.select("term", (F.log((1 + F.lit(rows)) / (1 + F.col("df"))) + 1).alias("idf"))
+
     words = spark.createDataFrame([(x,) for x in vocabulary], "term string")
-    wanted = distinct.select(F.explode("terms").alias("term")).union(words).distinct()
-    held = base.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    df = written(wanted.join(held, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df")), f"{folder}/df")
-    idf = df.select("term", (F.log((1 + F.lit(base.count())) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = idf_of(words, "df-templates")
     template_w = _vectors(templates, ["t", "license"], idf)
     norms = template_w.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
-    template_w = template_w.join(norms, "t").select("t", "license", "term", (F.col("w") / F.col("tn")).alias("tw"))
-    weighted = _vectors(distinct, ["key"], idf)
+    template_w = written(template_w.join(norms, "t").select("t", "license", "term", (F.col("w") / F.col("tn")).alias("tw")), f"{folder}/templates")
+    # A unit's product with a template needs the templates' terms only. Its length is at least that of these terms and of one for each other
+    # word (no idf is below 1), so what stays below the threshold with that length can't reach it: only the rest is weighed in full.
+    tokens = distinct.select("key", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(F.broadcast(idf), "term")
+    tokens = tokens.groupBy("key", "term").agg(F.first("n").alias("n"), F.count("*").alias("tf"), F.first("idf").alias("idf")).withColumn("w", F.col("tf") * F.col("idf"))
+    tokens = written(tokens, f"{folder}/tokens")
+    least = tokens.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("n") - F.sum("tf")).alias("least"))
+    dots = written(tokens.join(F.broadcast(template_w), "term").groupBy("key", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).join(least, "key").where(F.col("dot") / F.col("least") >= threshold - 1e-3).drop("least"), f"{folder}/dots")
+    chosen = written(distinct.join(dots.select("key").distinct(), "key", "left_semi"), f"{folder}/chosen")
+    others = chosen.select(F.explode("terms").alias("term")).distinct().join(F.broadcast(words), "term", "left_anti")
+    idf = idf.union(idf_of(others, "df-units"))
+    weighted = _vectors(chosen, ["key"], idf)
     unit_norm = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"))
-    dots = weighted.join(F.broadcast(template_w), "term").groupBy("key", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scored = dots.join(unit_norm, "key").select("key", "license", F.round(F.col("dot") / F.col("un"), 4).alias("cosine")).where(F.col("cosine") >= threshold)
     best_unit = _salted(written(scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b")).select("key", F.col("b.l").alias("l"), F.col("b.c").alias("c")), f"{folder}/best"))
     salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SALT)).cast("int").alias("salt")
