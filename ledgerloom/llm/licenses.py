@@ -106,7 +106,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Colu
     tokens = written(tokens, f"{folder}/tokens")
     least = tokens.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("n") - F.sum("tf")).alias("least"))
     dots = written(tokens.join(F.broadcast(template_w), "term").groupBy("key", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).join(least, "key").where(F.col("dot") / F.col("least") >= threshold - 1e-3).drop("least"), f"{folder}/dots")
-    chosen = written(distinct.join(dots.select("key").distinct(), "key", "left_semi"), f"{folder}/chosen")
+    keys = dots.select("key").distinct()
+    chosen = written(marked(distinct, keys, "key").join(keys.hint("merge"), "key"), f"{folder}/chosen")  # the other units stay where they are
     others = chosen.select(F.explode("terms").alias("term")).distinct().join(F.broadcast(words), "term", "left_anti")
     idf = idf.union(idf_of(others, "df-units"))
     weighted = _vectors(chosen, ["key"], idf)
