@@ -101,11 +101,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: Colu
     template_w = written(template_w.join(norms, "t").select("t", "license", "term", (F.col("w") / F.col("tn")).alias("tw")), f"{folder}/templates")
     # A unit's product with a template needs the templates' terms only. Its length is at least that of these terms and of one for each other
     # word (no idf is below 1), so what stays below the threshold with that length can't reach it: only the rest is weighed in full.
-    tokens = distinct.select("key", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(F.broadcast(idf), "term")
+    # Units go to tasks by key once, so a unit's terms, products and length meet without another shuffle.
+    tokens = distinct.select("key", F.size("terms").alias("n"), F.filter("terms", lambda x: x.isin(*vocabulary)).alias("terms")).repartition("key").select("key", "n", F.explode("terms").alias("term")).join(F.broadcast(idf), "term")
     tokens = tokens.groupBy("key", "term").agg(F.first("n").alias("n"), F.count("*").alias("tf"), F.first("idf").alias("idf")).withColumn("w", F.col("tf") * F.col("idf"))
-    tokens = written(tokens, f"{folder}/tokens")
     least = tokens.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("n") - F.sum("tf")).alias("least"))
-    dots = written(tokens.join(F.broadcast(template_w), "term").groupBy("key", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).join(least, "key").where(F.col("dot") / F.col("least") >= threshold - 1e-3).drop("least"), f"{folder}/dots")
+    products = tokens.join(F.broadcast(template_w), "term").groupBy("key", "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    dots = written(products.join(least.hint("merge"), "key").where(F.col("dot") / F.col("least") >= threshold - 1e-3).drop("least"), f"{folder}/dots")
     keys = dots.select("key").distinct()
     chosen = written(marked(distinct, keys, "key").join(keys.hint("merge"), "key"), f"{folder}/chosen")  # the other units stay where they are
     others = chosen.select(F.explode("terms").alias("term")).distinct().join(F.broadcast(words), "term", "left_anti")
