@@ -677,6 +677,33 @@ def test_exact_classes(docs):
     assert got == Counter((min((x for x in g if x is not None), default=None), len(g)) for g in want.values())
 
 
+def brute_groups(rows):
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(exact.canonical(t or ""), []).append(i)
+    return [(min((x for x in g if x is not None), default=None), g) for g in groups.values()]
+
+
+def test_exact_classes_of_colliding_hashes(spark):
+    rows = [(i, f"{'AB'[i % 2]} text {i % 20 // 2}", "en", "s", None) for i in range(90)] + [(200 + i, f"alone {i}", "en", "s", None) for i in range(30)]
+    for singles in (True, False):
+        got = exact.exact_classes(spark.createDataFrame(rows, SCHEMA).repartition(4), singles=singles, hash_=lambda x: str(len(x) % 2)).collect()
+        assert Counter((r.class_id, r.copies) for r in got) == Counter((c, len(g)) for c, g in brute_groups(rows) if singles or len(g) > 1)
+        assert len({(r.fingerprint, r.n) for r in got}) == len(got) and len({r.fingerprint for r in got}) <= 2
+
+
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_exact_query(spark, docs, empty, heavy, monkeypatch):
+    monkeypatch.setattr(exact, "HEAVY", heavy)
+    hot = [(i, "Hot text" if i % 3 == 0 else f"t {i % 100}" if i % 5 else f"text  {i}", "en", "s", None) for i in range(400)]
+    for rows, frame in ((base_rows(), docs), (hot, None), ([], empty), (hot[1:2], None), ([(None, "a", None, None, None)] * 2, None), ([(None, " Hot  text", None, None, None)] * 40 + hot, None)):
+        found = exact.fingerprinted(frame if frame is not None else spark.createDataFrame(rows, SCHEMA))
+        assert found.columns[-2:] == ["class_id", "copies"]
+        got = found.collect()
+        assert Counter(tuple(r)[:7] for r in got) == brute_neighbours(rows)
+        assert Counter((r.doc_id, r.class_id, r.copies) for r in got) == Counter((i, c, len(g)) for c, g in brute_groups(rows) for i in g)
+
+
 def test_shards(spark, docs, empty, tmp_path):
     made = spark.createDataFrame([(i, f"text {i} " * 50, "en", "s", i) for i in range(400)], SCHEMA)
     store = compaction.ShardStore(spark, str(tmp_path / "store"), target=40_000, fan_in=3)
