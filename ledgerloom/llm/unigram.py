@@ -1,9 +1,10 @@
 """Token counts under a unigram model, by dynamic programming over a trie of the distinct words.
 
 The model has a probability for each piece of a public byte-level vocabulary, which is taken as it is. The probabilities are estimated
-by PASSES of expectation maximisation: the distinct words of a sample, the SAMPLE_DOCS documents whose texts have the least hashes,
-whole, are counted; a pass sums the expected number of times that each piece occurs over all segmentations of each word, by forward
-and backward sums, and the next probabilities are those sums plus SMOOTHING, scaled to one. It starts from Zipf's law by rank.
+by PASSES of expectation maximisation over all documents: the distinct words of all whole texts are counted; a pass sums the expected
+number of times that each piece occurs over all segmentations of each word, and the next probabilities are those sums plus SMOOTHING,
+scaled to one. It starts from Zipf's law by rank. The words of a task are in order and walked as a trie, too: a byte prefix has its
+forward sum once, and hands the occurrences that end on it or below it back to its own prefixes once, when the walk leaves it.
 
 A word's count is the number of tokens of its best segmentation: the highest
 sum of log probabilities, of equal ones the fewest tokens. Each batch's distinct pre-tokens (split as by the
@@ -12,7 +13,7 @@ score and count of each byte prefix on the path, a word takes over the entries o
 with the word before it and computes only what is below, and its last entry is stored as its terminal count.
 
 Defined cases: a null text is an empty text with no words and no tokens; repeated rows give repeated rows; words are
-never cut; extra columns are ignored; an empty table gives an empty result, and a sample without words the starting model.
+never cut; extra columns are ignored; an empty table gives an empty result, and texts without words the starting model.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from .common import map_slices, work_dir, written
 KEPT = 200_000
 
 
-#: The sample that probabilities are estimated from, how often, and what each piece is given on top.
-SAMPLE_DOCS, PASSES, SMOOTHING = 1000, 2, 0.1
+#: How often probabilities are estimated, and what each piece is given on top.
+PASSES, SMOOTHING = 2, 0.1
+#: Distinct words a task of a pass has, about; and how deep a path's arcs are held (below, they are found twice).
+TASK_WORDS, HELD_DEPTH = 100_000, 10_000
 
 
 class Unigram:
@@ -58,32 +61,57 @@ class Unigram:
                 node = node.setdefault(b, {})
             node[-1], node[-2] = logs[n], n
 
+    def arcs(self, data: bytes, end: int) -> list[tuple[int, float, int]]:
+        """(start, log probability, number) of the pieces that end with the byte at `end`."""
+        node, found = self.tree, []
+        for at in range(end, -1, -1):
+            node = node.get(data[at])
+            if node is None:
+                break
+            p = node.get(-1)
+            if p is not None:
+                found.append((at, p, node[-2]))
+        return found
+
     def expected(self, words: dict[str, int]) -> np.ndarray:
         """How often each piece occurs in the words (times their counts), over all segmentations by their probability."""
-        out = np.zeros(len(self.pieces))
-        for word, many in words.items():
-            data = word.encode("utf-8", "surrogatepass")
-            forward, arcs = [0.0], []
-            for end in range(len(data)):
-                node, found = self.tree, []
-                for at in range(end, -1, -1):
-                    node = node.get(data[at])
-                    if node is None:
+        return self.expected_in(sorted((w.encode("utf-8", "surrogatepass"), n) for w, n in words.items()))
+
+    def expected_in(self, words: Iterable[tuple[bytes, int]]) -> np.ndarray:
+        """`expected` of words as bytes. Any order is right; where they are sorted, each common prefix is computed once."""
+        out = [0.0] * len(self.pieces)
+        forward, share, held, before = [0.0], [0.0], [[]], b""
+
+        def leave(depth: int) -> None:
+            for end in range(len(share) - 1, depth, -1):
+                here, mine, sum_ = held.pop(), share.pop(), forward.pop()
+                for at, p, n in self.arcs(before, end - 1) if here is None else here:
+                    x = mine * math.exp(forward[at] + p - sum_)
+                    share[at] += x
+                    out[n] += x
+
+        for data, many in words:
+            same = 0
+            if data[:1] == before[:1]:
+                for x, y in zip(before, data, strict=False):
+                    if x != y:
                         break
-                    if -1 in node:
-                        found.append((at, node[-1], node[-2]))
-                top = max(forward[at] + p for at, p, _ in found)
-                forward.append(top + math.log(math.fsum(math.exp(forward[at] + p - top) for at, p, _ in found)))
-                arcs.append(found)
-            # The share of all segmentations that goes through each place, from the end back.
-            share = [0.0] * len(data) + [float(many)]
-            for end in range(len(data), 0, -1):
-                if share[end]:
-                    for at, p, n in arcs[end - 1]:
-                        x = share[end] * math.exp(forward[at] + p - forward[end])
-                        share[at] += x
-                        out[n] += x
-        return out
+                    same += 1
+            leave(same)
+            for end in range(same, len(data)):
+                found = self.arcs(data, end)
+                if len(found) == 1:
+                    forward.append(forward[found[0][0]] + found[0][1])
+                else:
+                    sums = [forward[at] + p for at, p, _ in found]
+                    top = max(sums)
+                    forward.append(top + math.log(sum([math.exp(x - top) for x in sums])))
+                held.append(found if end < HELD_DEPTH else None)
+                share.append(0.0)
+            share[-1] += many
+            before = data
+        leave(0)
+        return np.array(out)
 
     def known(self, words: set[str]) -> dict[str, tuple[int, float]]:
         """(tokens, score) of at least these words."""
@@ -139,32 +167,31 @@ def _word_counts(texts: list[str]) -> Counter:
     return heads
 
 
-def fit(docs: DataFrame, vocabulary: str, text: str = "text", sample: int = SAMPLE_DOCS, passes: int = PASSES) -> np.ndarray | None:
-    """The pieces' weights; the driver holds one number a piece. None where the sample has no words."""
+def fit(docs: DataFrame, vocabulary: str, text: str = "text", passes: int = PASSES) -> np.ndarray | None:
+    """The pieces' weights from all texts; the driver holds one number a piece. None where no text has words."""
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as file:
         given = file.read()
-    texts = docs.select(F.col(text).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample).repartition(8, F.xxhash64("text"))
 
     def counted(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         words = _word_counts(texts)
         return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
-    words = written(map_slices(texts, counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).repartition(8, "word"), f"{work_dir(spark, 'unigram')}/words")
+    found = map_slices(docs.select(F.col(text).alias("text")), counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = written(found, f"{work_dir(spark, 'unigram')}/words")
+    tasks = max(8, words.count() // TASK_WORDS)
     weights = None
     for _ in range(passes):
         shared = spark.sparkContext.broadcast((given, weights))
 
         def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = Unigram(*shared.value)
-            total = np.zeros(len(model.pieces))
-            for batch in batches:
-                total += model.expected({w.decode("utf-8", "surrogatepass"): n for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)})
+            total = Unigram(*shared.value).expected_in((w, n) for batch in batches for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "x"])
 
+        dealt = words.repartition(tasks, "word").sortWithinPartitions("word")
         # Sums are rounded, so that the order in which tasks end does not show.
-        sums = words.mapInArrow(expected, "piece long, x double").groupBy("piece").agg(F.round(F.sum("x"), 6).alias("x")).collect()
+        sums = dealt.mapInArrow(expected, "piece long, x double").groupBy("piece").agg(F.round(F.sum("x"), 6).alias("x")).collect()
         if not sums:
             return None
         weights = np.full(len(Unigram(given).pieces) if weights is None else len(weights), SMOOTHING)
