@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import json
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -157,14 +158,15 @@ def _model(shared) -> Unigram:
     return _made["model"]
 
 
-def _word_counts(texts: list[str]) -> Counter:
+def _word_counts(texts: list[str]) -> dict[str, int]:
     cut = [chunks(x) for x in texts]
-    parts = split_all(set().union(*(c[1:] for c in cut)))
-    heads = Counter(w for c in cut if c[0] for w in words_of(c[0]))
-    for c, n in Counter(x for c in cut for x in c[1:]).items():
-        for w in parts[c]:
-            heads[w] += n
-    return heads
+    many = Counter(chain.from_iterable(c[1:] for c in cut))
+    out = defaultdict(int, Counter(w for c in cut if c[0] for w in words_of(c[0])))
+    for c, words in split_all(many).items():
+        n = many[c]
+        for w in words:
+            out[w] += n
+    return out
 
 
 def fit(docs: DataFrame, vocabulary: str, text: str = "text", passes: int = PASSES) -> np.ndarray | None:
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, vocabulary: str, text: str = "text", passes: int = PASS
         shared = spark.sparkContext.broadcast((given, weights))
 
         def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = Unigram(*shared.value).expected_in((w, n) for batch in batches for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            total = _model(shared).expected_in((w, n) for batch in batches for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "x"])
 
