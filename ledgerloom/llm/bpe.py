@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import kept_model, map_slices
 
 #: The splitting pattern of byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -270,16 +270,9 @@ class Automaton:
         return self.decode_all([ids])[0].decode()
 
 
-_made: dict[int, Automaton] = {}
-
-
 def automaton(text: str) -> Automaton:
-    """One automaton a process for each vocabulary."""
-    key = hash(text)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Automaton(text)
-    return _made[key]
+    """The automaton of a vocabulary, kept by the process until it needs another model."""
+    return kept_model(text, lambda: Automaton(text))
 
 
 def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
@@ -303,7 +296,7 @@ def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
         columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in machine.decode_all(rows)]))
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_slices(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), of, f"doc_id long, n_tokens long, {'ids array<int>, ' * ids}ids_sha256 string, decoded_sha256 string")
+    return map_slices(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), of, f"doc_id long, n_tokens long, {'ids array<int>, ' * ids}ids_sha256 string, decoded_sha256 string", model=True)
 
 
 def decoded(tokens: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -86,6 +87,13 @@ def written(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of stored rows that no result reads any more."""
+    for path in paths:
+        fs, where = file_system(spark, path)
+        fs.delete(where, True)
+
+
 def small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
     """Whether the rows are at most `most`, looking no further than that."""
     return df.limit(most + 1).count() <= most
@@ -107,13 +115,35 @@ def marked(rows: DataFrame, wanted: DataFrame, key: str, words: int | None = Non
     return rows.withColumn("__word", word).join(F.broadcast(bits), "__word").where(F.getbit("__bits", bit) == 1).drop("__word", "__bits")
 
 
-def map_slices(docs: DataFrame, fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], schema: str, text: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
+_models: dict = {}
+
+
+def kept_model(of: object, make: Callable[[], object]) -> object:
+    """The one model that a worker keeps between its tasks, made anew where it was made of something else."""
+    if "of" not in _models or not (_models["of"] is of or isinstance(of, str) and _models["of"] == of):
+        _models.clear()
+        _models.update(of=of, model=make())
+    return _models["model"]
+
+
+def forget_model() -> None:
+    """Workers outlive their queries: a task without a model drops the one that an earlier query left, and gives free memory back."""
+    _models.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def map_slices(docs: DataFrame, fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], schema: str, text: str = "text", limit: int = SLICE_CHARS, model: bool = False) -> DataFrame:
     """mapInArrow with batches cut so that one call sees at most about `limit` characters, or one text.
 
-    `fn` gets the record batch and its texts (null: empty) and returns a record batch in `schema`.
+    `fn` gets the record batch and its texts (null: empty) and returns a record batch in `schema`; `model` says that it uses `kept_model`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not model:
+            forget_model()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             if not batch.num_rows:

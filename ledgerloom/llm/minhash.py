@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, marked, mix, work_dir, written
+from .common import map_slices, marked, mix, removed, small, work_dir, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -33,6 +33,8 @@ SMALL_BUCKET = 12
 PIVOT_ROUNDS = 2
 #: Slots of the shingle counts that order that join: bounded, whatever the input.
 SLOTS = 1 << 18
+#: Links that the driver unites itself: two numbers each.
+SMALL_LINKS = 100_000
 #: Words of 64 bits in the parity sketch that rules out pairs of that join.
 SKETCH = 8
 
@@ -175,23 +177,41 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
 
 
-#: Copies of a node's least neighbour, so that the many edges of one node are not one task's.
-SALT = 8
+def _centred(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges (u, v) with u's m. Both are stored, so each side is dealt for this join alone and Spark can split a node of many edges."""
+    return edges.join(least, "u")
 
 
-def _centred(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """The edges (u, v) with u's m; the edges of a node are dealt by v too."""
-    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
+def united(links: pa.Table) -> pa.Table:
+    """`components` of a table (u, v)."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while parent.get(top, top) != top:
+            top = parent[top]
+        while parent.get(x, x) != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for u, v in zip(links.column("u").to_pylist(), links.column("v").to_pylist(), strict=True):
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+        parent.setdefault(u, u)
+    nodes = [x for x in parent if find(x) != x]
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node it reaches.
 
-    Alternates large-star and small-star steps until the links are stars; each step is written to the folder.
+    Up to SMALL_LINKS links are united by the driver. More alternate large-star and small-star steps until they are stars; each step is
+    written to the folder, and removed once the next is.
     """
     spark = links.sparkSession
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/0")
+    if small(now, SMALL_LINKS):
+        return spark.createDataFrame(united(now.toArrow()), "node long, root long")
     seen, step = None, 0
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -199,12 +219,25 @@ def components(links: DataFrame, folder: str) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen, step = tuple(state), step + 1
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{folder}/{step}-least")
         large = _centred(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, f"{folder}/{step}-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _centred(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(low.select("u", F.col("m").alias("v")).union(small).distinct(), f"{folder}/{step}")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/{step}-low")
+        inner = _centred(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(low.select("u", F.col("m").alias("v")).union(inner).distinct(), f"{folder}/{step}")
+        removed(spark, f"{folder}/{step - 1}", *(f"{folder}/{step}-{name}" for name in ("least", "large", "low")))
+
+
+def merged(roots: DataFrame | None, links: DataFrame, folder: str) -> DataFrame:
+    """(node, root) with more links: only the roots that these join go through the steps of `components`."""
+    if roots is None:
+        return components(links, folder)
+    ends = links
+    for name in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"of_{name}")), name, "left")
+    above = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), folder)
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return moved.select("node", F.coalesce("top", "root").alias("root")).union(above)
 
 
 def _small_pairs(members: DataFrame, sizes: DataFrame, most: int, similarity: float) -> DataFrame:
@@ -319,7 +352,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = written(kept.select("node", "n", F.posexplode("bands").alias("band", "key")).select("key", "node", "n"), f"{folder}/members")
     shared = members.join(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
     members = written(shared, f"{folder}/shared")
-    links, roots, tried = None, None, None
+    removed(spark, f"{folder}/members")
+    roots, tried = None, None
     for round_ in range(PIVOT_ROUNDS + 1):
         if round_ == 0:
             rooted = members.withColumn("root", F.col("node"))
@@ -337,6 +371,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rest = written(marked(bags, left, "node"), f"{folder}/left-bags")
             rare = _rare_members(rest, _slot_counts(rest), similarity).join(left, "node")
             pairs = _mixed_pairs(written(rare, f"{folder}/left-members"), similarity)
+            removed(spark, f"{folder}/left-bags")
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -349,15 +384,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         wanted = written(marked(bags, compared, "node"), f"{folder}/bags-{round_}")
         found = written(verified(pairs, wanted, similarity), f"{folder}/links-{round_}")
         tried = pairs if tried is None else tried.union(pairs)
-        if links is not None and found.isEmpty():
+        removed(spark, f"{folder}/bags-{round_}")
+        if roots is not None and found.isEmpty():
             continue
-        links = found if links is None else links.union(found)
-        roots = written(components(links, f"{folder}/stars-{round_}"), f"{folder}/roots-{round_}")
+        roots = written(merged(roots, found, f"{folder}/stars-{round_}"), f"{folder}/roots-{round_}")
+        removed(spark, f"{folder}/stars-{round_}")
     owner = nodes.join(roots, "node", "left").select("digest", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
     classes = owner.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = owner.join(classes, "root").select("digest", "root", "class_id", "class_size")
     placed = rows.select("doc_id", "digest", "line").join(named, "digest")
     placed = written(placed.select("line", "root", "doc_id", "class_id", "class_size"), f"{folder}/placed")
+    rounds = [f"{name}-{n}" for n in range(PIVOT_ROUNDS + 1) for name in ("rooted", "pairs", "links", "roots")]
+    removed(spark, *(f"{folder}/{name}" for name in ["rows", "nodes", "shared", "left", "left-members", *rounds]))
     one = placed.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("line").alias("line")).select("line", F.lit(True).alias("kept"))
     return placed.join(one, "line", "left").select("doc_id", "class_id", "class_size", F.coalesce("kept", F.lit(False)).alias("is_kept"))
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, marked, small, work_dir, written
+from .common import map_slices, marked, removed, small, work_dir, written
 
 ORDER = 5
 QUANTILE, LEAST_TRUSTED, PRIOR_CHARS = 0.995, 30, 200
@@ -370,6 +370,13 @@ def perplexities(docs: DataFrame, model: DataFrame, floor: float, text: bool = F
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of, schema)
 
 
+def _scored(docs: DataFrame, model: DataFrame, floor: float, folder: str, text: bool = False) -> DataFrame:
+    """`perplexities`, stored; the folder's model and the tables it was made from are removed."""
+    scored = written(perplexities(docs, model, floor, text), f"{folder}/scored")
+    removed(docs.sparkSession, f"{folder}/model", *(f"{folder}/{name}{n}" for name in ("counts", "p") for n in range(1, ORDER + 1)))
+    return scored
+
+
 #: The half of the trusted documents that limits come from; the model is of the other.
 HELD_OUT = "pmod(xxhash64(doc_id, 5L), 2) = 0"
 
@@ -415,7 +422,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     if model is None:
         nothing = F.lit(None).cast("double")
         return base.select("doc_id", "lang", nothing.alias("perplexity"), nothing.alias("evidence"), nothing.alias("threshold"), F.lit(True).alias("is_kept"))
-    scored = written(perplexities(base, *model), f"{folder}/scored")
+    scored = _scored(base, *model, folder)
     return _judged(scored, labels, quantile).select("doc_id", "lang", "perplexity", "evidence", "threshold", "is_kept")
 
 
@@ -426,7 +433,7 @@ def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Data
     model = train(named, labels, folder)
     if model is None:
         return named
-    scored = written(perplexities(named, *model, text=True), f"{folder}/scored")
+    scored = _scored(named, *model, folder, text=True)
     return _judged(scored, labels, quantile).where("is_kept").select("doc_id", "text", "lang", "source", "n_chars")
 
 

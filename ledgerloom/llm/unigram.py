@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept, byte_names, chunks, default_vocabulary, split_all, words_of
-from .common import map_slices, work_dir, written
+from .common import kept_model, map_slices, work_dir, written
 
 
 #: Words whose terminal counts a process keeps (twice: of late, and from before).
@@ -148,14 +148,9 @@ class Unigram:
         return out
 
 
-_made: dict = {}
-
-
 def _model(shared) -> Unigram:
     """The model of a broadcast (vocabulary text, weights or None), made once a worker."""
-    if shared.value is not _made.get("of"):
-        _made.update(of=shared.value, model=Unigram(*shared.value))
-    return _made["model"]
+    return kept_model(shared.value, lambda: Unigram(*shared.value))
 
 
 def _word_counts(texts: list[str]) -> dict[str, int]:
@@ -225,7 +220,7 @@ def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
             rows.append((sum(n), sum(tokens), round(math.fsum(scores), 3) + 0.0))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], names=["doc_id", "n_words", "n_tokens", "score"])
 
-    return map_slices(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), of, "doc_id long, n_words long, n_tokens long, score double")
+    return map_slices(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), of, "doc_id long, n_words long, n_tokens long, score double", model=True)
 
 
 def op8_unigram_token_counts(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
