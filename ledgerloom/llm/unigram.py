@@ -3,14 +3,15 @@
 The model has a probability for each piece of a public byte-level vocabulary, which is taken as it is. The probabilities are estimated
 by PASSES of expectation maximisation over all documents: the distinct words of all whole texts are counted; a pass sums the expected
 number of times that each piece occurs over all segmentations of each word, and the next probabilities are those sums plus SMOOTHING,
-scaled to one. It starts from Zipf's law by rank. The words of a task are in order and walked as a trie, too: a byte prefix has its
-forward sum once, and hands the occurrences that end on it or below it back to its own prefixes once, when the walk leaves it.
+scaled to one. It starts from Zipf's law by rank. The words of a task are in order and form a trie, too: a byte prefix has its
+forward sum once, and hands the occurrences that end on it or below it back to its own prefixes once, after all that are longer.
 
 A word's count is the number of tokens of its best segmentation: the highest
 sum of log probabilities, of equal ones the fewest tokens. Each batch's distinct pre-tokens (split as by the
-vocabulary's pattern) form a trie. Its depth-first walk is the walk through the sorted words: a stack holds the best
-score and count of each byte prefix on the path, a word takes over the entries of the prefix that it shares
-with the word before it and computes only what is below, and its last entry is stored as its terminal count.
+vocabulary's pattern) form a trie, whose prefixes are numbered from the sorted words. A depth of it is taken at once: all its prefixes
+walk back through the pieces, read backwards, in step, and take the best of the prefixes that a piece leaves; a word's own prefix has
+its count. Words of over LONG bytes go one by one: a stack holds the entries of the prefixes on the path, and a word computes only
+what it does not share with the word before it.
 
 Defined cases: a null text is an empty text with no words and no tokens; repeated rows give repeated rows; words are
 never cut; extra columns are ignored; an empty table gives an empty result, and texts without words the starting model.
@@ -22,7 +23,7 @@ import json
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ KEPT = 200_000
 PASSES, SMOOTHING = 2, 0.1
 #: Distinct words a task of a pass has, about; and how deep a path's arcs are held (below, they are found twice).
 TASK_WORDS, HELD_DEPTH = 100_000, 10_000
+#: Words whose prefixes are taken together, and the bytes beyond which a word goes by itself.
+GROUP, LONG = 50_000, 64
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Unigram:
@@ -61,6 +65,65 @@ class Unigram:
             for b in reversed(piece):
                 node = node.setdefault(b, {})
             node[-1], node[-2] = logs[n], n
+        self._flatten()
+
+    def _flatten(self) -> None:
+        """The tree as arrays: states are numbered by depth (0: the root, and none); arcs of the first are a table, the others hashed."""
+        nodes, froms, labels, depth1 = [self.tree], [], [], 0
+        for state, node in enumerate(nodes):  # grows meanwhile
+            for b, child in node.items():
+                if b >= 0:
+                    froms.append(state)
+                    labels.append(b)
+                    nodes.append(child)
+            depth1 = depth1 or len(nodes)
+        self.logs = np.array([node.get(-1, -math.inf) for node in nodes])
+        self.numbers = np.array([node.get(-2, 0) for node in nodes])
+        keys, targets = np.array(froms, np.int64) << 8 | np.array(labels, np.int64), np.arange(1, len(nodes))
+        self.near = np.zeros(depth1 << 8, np.int64)
+        low = keys < depth1 << 8
+        self.near[keys[low]] = targets[low]
+        keys, targets = keys[~low], targets[~low]
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.hashed, self.target = np.uint64(64 - bits), np.full(1 << bits, -1), np.zeros(1 << bits, np.int64)
+        slot = self._slots(keys)
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            put = first[self.hashed[slot[first]] < 0]
+            self.hashed[slot[put]], self.target[slot[put]] = keys[put], targets[put]
+            keys, targets, slot = (np.delete(x, put) for x in (keys, targets, slot))
+            slot = slot + 1 & len(self.hashed) - 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _GOLDEN >> self.shift).astype(np.int64)
+
+    def _after(self, state: np.ndarray, byte: np.ndarray, deep: bool) -> np.ndarray:
+        """The states that arcs lead to; 0 for none."""
+        keys = state << 8 | byte
+        if not deep:
+            return self.near[keys]
+        slot = self._slots(keys)
+        out, there = self.target[slot], self.hashed[slot]
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        out[there < 0] = 0
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & len(self.hashed) - 1
+            there = self.hashed[slot[open_]]
+            out[open_] = np.where(there < 0, 0, self.target[slot[open_]])
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        return out
+
+    def _ends(self, first: int, last: int, parent: np.ndarray, byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(prefix less `first`, prefix before the piece, state) of the pieces that end prefixes first to last, the shortest first."""
+        at = np.arange(first, last)
+        rows, state, step = at - first, np.zeros(last - first, np.int64), 0
+        while len(rows):
+            state = self._after(state, byte[at], step > 1)
+            at, step = parent[at], step + 1
+            has = np.flatnonzero(self.logs[state] > -math.inf)
+            yield rows[has], at[has], state[has]
+            go = np.flatnonzero((state > 0) & (at > 0))
+            rows, at, state = rows[go], at[go], state[go]
 
     def arcs(self, data: bytes, end: int) -> list[tuple[int, float, int]]:
         """(start, log probability, number) of the pieces that end with the byte at `end`."""
@@ -80,6 +143,41 @@ class Unigram:
 
     def expected_in(self, words: Iterable[tuple[bytes, int]]) -> np.ndarray:
         """`expected` of words as bytes. Any order is right; where they are sorted, each common prefix is computed once."""
+        out, long, words = np.zeros(len(self.pieces)), [], iter(words)
+        while group := list(islice(words, GROUP)):
+            long += [x for x in group if len(x[0]) > LONG]
+            out += self._expected_of([x for x in group if len(x[0]) <= LONG])
+            if sum(len(x[0]) for x in long) > GROUP * LONG:
+                out += self._expected_long(long)
+                long = []
+        return out + self._expected_long(long)
+
+    def _expected_of(self, words: list[tuple[bytes, int]]) -> np.ndarray:
+        """`expected_in` by columns: a depth of all words' prefixes at once."""
+        parent, byte, depths, ends = _prefixes([x[0] for x in words])
+        forward, arcs = np.full(len(parent), -math.inf), []
+        forward[0] = 0
+        for first, last in depths:
+            found = list(self._ends(first, last, parent, byte))
+            top, total = np.full(last - first, -math.inf), np.zeros(last - first)
+            for rows, at, state in found:
+                top[rows] = np.maximum(top[rows], forward[at] + self.logs[state])
+            for rows, at, state in found:
+                total[rows] += np.exp(forward[at] + self.logs[state] - top[rows])
+            forward[first:last] = top + np.log(total)
+            arcs.append(found)
+        share = np.bincount(ends, [x[1] for x in words], len(parent))
+        states, sums = [np.empty(0, np.int64)], [np.empty(0)]
+        for (first, last), found in zip(depths[::-1], arcs[::-1], strict=True):
+            for rows, at, state in found:
+                x = share[rows + first] * np.exp(forward[at] + self.logs[state] - forward[rows + first])
+                np.add.at(share, at, x)
+                states.append(state)
+                sums.append(x)
+        return np.bincount(self.numbers[np.concatenate(states)], np.concatenate(sums), len(self.pieces))
+
+    def _expected_long(self, words: list[tuple[bytes, int]]) -> np.ndarray:
+        """The same for words of many bytes: one after the other."""
         out = [0.0] * len(self.pieces)
         forward, share, held, before = [0.0], [0.0], [[]], b""
 
@@ -120,11 +218,31 @@ class Unigram:
         return self.kept
 
     def terminals(self, words: list[str]) -> dict[str, tuple[int, float]]:
-        """(tokens, score) of each word; the words' shared prefixes are scored once."""
+        """(tokens, score) of each word; the words' shared prefixes are scored once, those of a depth together."""
+        pairs = [(w.encode("utf-8", "surrogatepass"), w) for w in sorted(words)]
+        out = self._terminals_long([x for x in pairs if len(x[0]) > LONG])
+        pairs = [x for x in pairs if len(x[0]) <= LONG]
+        for k in range(0, len(pairs), GROUP):
+            group = pairs[k : k + GROUP]
+            parent, byte, depths, ends = _prefixes([x[0] for x in group])
+            scores, counts = np.zeros(len(parent)), np.zeros(len(parent), np.int64)
+            for first, last in depths:
+                best, few = np.full(last - first, -math.inf), np.zeros(last - first, np.int64)
+                for rows, at, state in self._ends(first, last, parent, byte):
+                    s, c = scores[at] + self.logs[state], counts[at] + 1
+                    now = best[rows]
+                    better = np.flatnonzero((s > now) | (s == now) & (c < few[rows]))
+                    best[rows[better]], few[rows[better]] = s[better], c[better]
+                scores[first:last], counts[first:last] = best, few
+            out.update(zip((x[1] for x in group), zip(counts[ends].tolist(), scores[ends].tolist(), strict=True), strict=True))
+        return out
+
+    def _terminals_long(self, words: list[tuple[bytes, str]]) -> dict[str, tuple[int, float]]:
+        """`terminals` of words of many bytes, in order: one after the other."""
         tree, out = self.tree, {}
         scores, counts, before = [0.0], [0], b""
-        for word in sorted(words):
-            data, shared = word.encode("utf-8", "surrogatepass"), 0
+        for data, word in words:
+            shared = 0
             for x, y in zip(before, data, strict=False):
                 if x != y:
                     break
@@ -148,6 +266,23 @@ class Unigram:
         return out
 
 
+def _prefixes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """The words' distinct prefixes, numbered by depth from 0, the empty one: (each one's parent, its last byte, the first and the end
+    of each depth, each word's own). Words out of order are right, but share less."""
+    data, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(x) for x in words], np.int64)
+    starts, own, live = np.cumsum(sizes) - sizes, np.zeros(len(words), np.int64), np.arange(len(words))
+    parents, bytes_, depths, many = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [], 1
+    while len(live := live[sizes[live] > len(depths)]):
+        up, byte = own[live], data[starts[live] + len(depths)].astype(np.int64)
+        new = np.ones(len(live), bool)
+        new[1:] = (up[1:] != up[:-1]) | (byte[1:] != byte[:-1])
+        own[live] = many - 1 + np.cumsum(new)
+        parents.append(up[new])
+        bytes_.append(byte[new])
+        depths.append((many, many := many + len(parents[-1])))
+    return np.concatenate(parents), np.concatenate(bytes_), depths, own
+
+
 def _model(shared) -> Unigram:
     """The model of a broadcast (vocabulary text, weights or None), made once a worker."""
     return kept_model(shared.value, lambda: Unigram(*shared.value))
@@ -211,7 +346,7 @@ def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
         heads = {c[0]: words_of(c[0]) if c[0] else [] for c in cut}
         parts = split_all(set().union(*(c[1:] for c in cut)))
         known = model.known({w for ws in [*heads.values(), *parts.values()] for w in ws})
-        sums = {c: (len(ws), sum([known[w][0] for w in ws]), sum([known[w][1] for w in ws])) for c, ws in parts.items()}
+        sums = {c: (1, *known[ws[0]]) if len(ws) == 1 else (len(ws), sum([known[w][0] for w in ws]), sum([known[w][1] for w in ws])) for c, ws in parts.items()}
         rows = []
         for c in cut:
             rest = [sums[x] for x in c[1:]]

@@ -692,6 +692,23 @@ def test_unigram_weights_from_all_segmentations(spark, docs, tmp_path):
     assert len(got) == len(base_rows()) and {r.n_tokens for r in got if r.doc_id in (5, 6)} == {0}
 
 
+def test_unigram_depths_match_words_one_by_one(monkeypatch):
+    rnd, text = random.Random(8), open(bpe.default_vocabulary()).read()
+    weights = np.array([rnd.random() ** 9 + 1e-9 for _ in unigram.Unigram(text).pieces])
+    model = unigram.Unigram(text, weights)
+    many = {" " * rnd.randrange(2) + "".join(rnd.choice(["th", "e", "in", "ß", "日", "🙂", "7"]) for _ in range(rnd.randrange(1, 12))): rnd.randrange(1, 9) for _ in range(900)}
+    many |= {"ab" * 500: 2, "": 3, "x" * unigram.LONG: 1, "x" * (unigram.LONG + 1): 4}
+    data = [(w.encode(), n) for w, n in many.items()]
+    want, best = model._expected_long(sorted(data)), model._terminals_long(sorted((w.encode(), w) for w in many))
+    asked = []
+    monkeypatch.setattr(model, "_expected_long", lambda words, f=model._expected_long: asked.extend(words) or f(words))
+    for group in (7, unigram.GROUP):
+        monkeypatch.setattr(unigram, "GROUP", group)
+        assert np.allclose(model.expected(many), want) and np.allclose(model.expected_in(data), want)
+        assert model.terminals(list(many)) == best
+    assert {len(w) for w, _ in asked} == {1000, unigram.LONG + 1} and model.expected({}).sum() == 0
+
+
 def test_caches_are_bounded_by_characters():
     kept = bpe.Kept(1000, chars=100)
     for n in range(50):
